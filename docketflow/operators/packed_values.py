@@ -49,18 +49,17 @@ def _typed(word: str) -> str:
     return f"(?:{'|'.join(sorted(ways))})"
 
 
-def protected_patterns(names: list[str]) -> list[str]:
-    """A pattern for each delimiter within a listed name, found by the words on either side."""
+def protected_pattern(names: list[str]) -> str:
+    """One pattern for all delimiters within listed names, found by the words on either side."""
     found = {}
     for name in names:
         for m in re.finditer(r"([^\W\d_]+)(\s*[,/&+;|]\s*|\s+and\s+)(?=([^\W\d_]+))", name):
             left, delimiter, right = m[1], m[2].strip(), m[3]
             for way in ("&", "and") if delimiter in ("&", "and") else (delimiter,):
                 sign = r"\s+and(?=\s+" if way == "and" else rf"\s*{re.escape(way)}(?=\s*"
-                found[left.lower(), way, right.lower()] = (
-                    rf"(?iU)(?<![\p{{L}}\p{{M}}])({_typed(left)}{sign}{_typed(right)}(?![\p{{L}}\p{{M}}])))"
-                )
-    return [found[k] for k in sorted(found)]
+                found[left.lower(), way, right.lower()] = rf"{_typed(left)}{sign}{_typed(right)}(?![\p{{L}}\p{{M}}]))"
+    # the words before a delimiter are few; the others are passed over before any name is tried
+    return rf"(?iU)(?<![\p{{L}}\p{{M}}])(?=[\p{{L}}\p{{M}}]+(?:\s*[,/&+;|]|\s+and\s))({'|'.join(found[k] for k in sorted(found)) or '(?!)'})"
 
 
 def short_names(names: list[str]) -> list[str]:
@@ -75,14 +74,13 @@ def short_names(names: list[str]) -> list[str]:
     return sorted(out)
 
 
-def _cuts(piece: Column, protect: list[str], shorts: str) -> Column:
+def _cuts(piece: Column, protect: str, shorts: str) -> Column:
     """An unquoted piece with CUT in place of every delimiter that separates values; all else stays as it was."""
     p = piece
     keep, free = "$1" + KEEP, rf"(?!{KEEP})"
     for sign in (r"[,;|/&+]", r"(?<=\s)and(?=\s)"):
         p = F.regexp_replace(p, rf"(?iU)({sign})(?=[^()]*\))", keep)
-    for pattern in protect:
-        p = F.regexp_replace(p, pattern, keep)
+    p = F.regexp_replace(p, protect, keep)
     p = F.regexp_replace(p, rf"(?U)\s*[;|\n\r\t\x{{3001}}\x{{ff1b}}\x{{ff5c}}]{free}\s*", CUT)
     end = rf"\s*(?:$|[{CUT},/&+(]|\sand\s)"
     p = F.regexp_replace(p, rf"(?iU)(,)(?=\s*(?:{'|'.join(SUFFIXES)})\b\.?{end})", keep)
@@ -92,8 +90,7 @@ def _cuts(piece: Column, protect: list[str], shorts: str) -> Column:
     p = F.regexp_replace(p, rf"(?iU)({edge}\s*{surname}\s*,)(?=\s*(?!and\s){given}{end})", keep)
     p = F.regexp_replace(p, rf"(?iU)\s*,{free}\s*(?:(?:and\s|&)\s*)?", CUT)
     lone = rf"{edge}\s*(?!(?:{shorts})\s)[\p{{L}}\p{{M}}'\x{{2019}}\-]+"
-    p = F.regexp_replace(p, rf"(?iU)({lone}\s*[/&+])(?=\s*\S)", keep)
-    p = F.regexp_replace(p, rf"(?iU)({lone}\s+and)(?=\s+\S)", keep)
+    p = F.regexp_replace(p, rf"(?iU)({lone}(?:\s*[/&+]|\s+and(?=\s)))(?=\s*\S)", keep)
     p = F.regexp_replace(p, rf"(?U)\s*[/&+]{free}\s*", CUT)
     p = F.regexp_replace(p, rf"(?iU)(?:^|(?<={CUT})|\s+)and{free}(?:\s+|$)", CUT)
     return F.replace(p, F.lit(KEEP), F.lit(""))
@@ -110,7 +107,7 @@ def _bare(value: Column) -> Column:
 
 def split_values(text: Column, names: list[str]) -> Column:
     """Array of the values of ``text``, in order. ``names``: the bounded list of known bodies."""
-    protect, shorts = protected_patterns(names), "|".join(map(re.escape, short_names(names))) or "(?!)"
+    protect, shorts = protected_pattern(names), "|".join(map(re.escape, short_names(names))) or "(?!)"
     quotes = F.length(text) - F.length(F.replace(text, F.lit('"')))
     closed = F.when(quotes % 2 == 0, text).otherwise(F.regexp_replace(text, r'"(?=[^"]*$)', QUOTE))
     pieces = F.transform(
@@ -126,7 +123,11 @@ def split_values(text: Column, names: list[str]) -> Column:
 
 def explode_values(df: DataFrame, id_col: str, text_col: str, names: list[str]) -> DataFrame:
     """(row_id, pos, n_values, item): one row per value of ``text_col``; pos counts from 1."""
-    values = df.select(F.col(id_col).alias("row_id"), split_values(F.col(text_col), names).alias("v"))
-    return values.select("row_id", F.size("v").alias("n_values"), F.posexplode("v").alias("p", "item")).select(
-        "row_id", (F.col("p") + 1).cast("int").alias("pos"), "n_values", "item"
+    # the array is bound once, and the count travels with each value, so that no filter on it repeats the split
+    each = F.flatten(
+        F.transform(
+            F.array(split_values(F.col(text_col), names)),
+            lambda values: F.transform(values, lambda v, k: F.struct((k + 1).alias("pos"), F.size(values).alias("n_values"), v.alias("item"))),
+        )
     )
+    return df.select(F.col(id_col).alias("row_id"), F.explode(each).alias("v")).select("row_id", "v.pos", "v.n_values", "v.item")
