@@ -104,7 +104,7 @@ def link(mentions: DataFrame, contributors: DataFrame) -> DataFrame:
     trim = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     rows = mentions.withColumn("spelling", trim).filter(F.col("spelling") != "")
     rows = rows.withColumn("hint", F.when(~F.col("spelling").rlike(r"(?U)\s"), F.col("hint"))).drop("text")
-    rows = rows.withColumn("k", F.concat_ws("\u0001", "spelling", F.coalesce("hint", F.lit(""))))
+    rows = cut(rows.withColumn("k", F.concat_ws("\u0001", "spelling", F.coalesce("hint", F.lit("")))), "mentions")
     counted = cut(rows.groupBy("k", "spelling", "hint").agg(F.count(F.lit(1)).alias("n")), "spelling-counts")
     total = counted.agg(F.sum("n")).first()[0] or 0
     heavy = counted.filter(F.col("n") >= heavy_threshold(total, HEAVY_SHARE)).select("k")
