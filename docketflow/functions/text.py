@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from docketflow.functions.taxonomy import DOCUMENT_TYPES, IRRELEVANT, OTHERS, RELEVANT, SUBJECT_KEYWORDS, TEXT_KEYWORDS
 
@@ -199,7 +200,7 @@ def label_text(labels: Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.when(F.size(e["value"]) > 0, F.concat(e["key"], F.lit(": "), F.array_join(e["value"], ", "))).otherwise(e["key"])), "; ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
@@ -210,7 +211,7 @@ _PICTOGRAPH = re.compile(
 )
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def pictographs(texts: pd.Series) -> pd.Series:
     """Distinct pictographs and sequences of a text, sorted."""
 
@@ -237,7 +238,7 @@ class _Text(HTMLParser):
             self.out.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(pages: pd.Series) -> pd.Series:
     """Visible text: lines stripped, split at double blanks, blank ones dropped."""
 
@@ -253,7 +254,7 @@ def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(read)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def quote_blocks(bodies: pd.Series) -> pd.Series:
     """Mail text with runs of equally deep quotation between markers."""
 

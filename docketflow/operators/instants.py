@@ -62,7 +62,7 @@ def normalise(rows: DataFrame, feeds: DataFrame, dictionary_path: str | None = N
     keys = ["text", "zone_name", "day_first"]
     # one string, so that null zones compare equal
     key = F.concat_ws("\u0001", F.coalesce("zone_name", F.lit("")), F.coalesce(F.col("day_first").cast("string"), F.lit("")), "text")
-    zoned = with_zone(rows, feeds).select("tab", "row_id", *keys, key.alias("k"))
+    zoned = with_zone(rows.select("tab", "row_id", "text", "feed"), feeds.dropDuplicates(["feed"])).select("tab", "row_id", *keys, key.alias("k"))
     counted = cut(zoned.filter(F.col("text").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "instant-entries")
     total = counted.agg(F.sum("n")).first()[0] or 0
     heavy = counted.filter(F.col("n") >= heavy_threshold(total, HEAVY_SHARE)).select(key.alias("k"))

@@ -6,11 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: str | None = None
+_shipped: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,6 +34,18 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once per application, so that Arrow functions can be loaded there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="docketflow-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = Path(__file__).parent
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+    _shipped.add(app)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that is deleted when the driver's JVM ends."""
     path = f"{shared_root(spark)}/docketflow/{label}-{uuid.uuid4().hex}"

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketflow.runtime import ship
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one table; column pruning and filters reach the scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
