@@ -87,7 +87,7 @@ def _cuts(piece: Column, protect: str, shorts: str) -> Column:
     edge = rf"(?:^|(?<=[{CUT},/&+])|(?<=\sand\s))"
     surname = rf"(?:(?:{'|'.join(PARTICLES)})\s+)*(?!(?:{shorts})\s*,)[\p{{L}}\p{{M}}'\x{{2019}}\-]+"
     given = r"(?:\p{L}\.(?:\s*\p{L}\.)*|[\p{L}\p{M}'\x{2019}\-]+(?:\s+\p{L}\.)*)"
-    p = F.regexp_replace(p, rf"(?iU)({edge}\s*{surname}\s*,)(?=\s*(?!and\s){given}{end})", keep)
+    p = F.regexp_replace(p, rf"(?iU)({edge}\s*{surname}\s*,)(\s*(?!and\s){given})(?={end})", keep + "$2")
     p = F.regexp_replace(p, rf"(?iU)\s*,{free}\s*(?:(?:and\s|&)\s*)?", CUT)
     lone = rf"{edge}\s*(?!(?:{shorts})\s)[\p{{L}}\p{{M}}'\x{{2019}}\-]+"
     p = F.regexp_replace(p, rf"(?iU)({lone}(?:\s*[/&+]|\s+and(?=\s)))(?=\s*\S)", keep)
