@@ -74,12 +74,18 @@ def short_names(names: list[str]) -> list[str]:
     return sorted(out)
 
 
+def _kept_inside(after: Column) -> Column:
+    """Text after an opening parenthesis, with the delimiters before the closing one marked as kept."""
+    inside = F.when(after.contains(")"), F.substring_index(after, ")", 1)).otherwise(F.lit(""))
+    marked = F.regexp_replace(inside, r"(?iU)([,;|/&+]|(?<=\s)and(?=\s))", "$1" + KEEP)
+    return F.concat(marked, after.substr(F.length(inside) + 1, F.length(after)))
+
+
 def _cuts(piece: Column, protect: str, shorts: str) -> Column:
     """An unquoted piece with CUT in place of every delimiter that separates values; all else stays as it was."""
     p = piece
     keep, free = "$1" + KEEP, rf"(?!{KEEP})"
-    for sign in (r"[,;|/&+]", r"(?<=\s)and(?=\s)"):
-        p = F.regexp_replace(p, rf"(?iU)({sign})(?=[^()]*\))", keep)
+    p = F.array_join(F.transform(F.split(p, r"\("), lambda x, k: F.when(k > 0, _kept_inside(x)).otherwise(x)), "(")
     p = F.regexp_replace(p, protect, keep)
     p = F.regexp_replace(p, rf"(?U)\s*[;|\n\r\t\x{{3001}}\x{{ff1b}}\x{{ff5c}}]{free}\s*", CUT)
     end = rf"\s*(?:$|[{CUT},/&+(]|\sand\s)"
