@@ -102,7 +102,7 @@ def link(mentions: DataFrame, contributors: DataFrame) -> DataFrame:
     hint is other evidence for a lone word, such as an address's local part.
     """
     trim = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
-    rows = mentions.withColumn("spelling", trim).filter(F.col("spelling") != "")
+    rows = mentions.select("tab", "fld", "row_id", "pos", "text", "hint").withColumn("spelling", trim).filter(F.col("spelling") != "")
     rows = rows.withColumn("hint", F.when(~F.col("spelling").rlike(r"(?U)\s"), F.col("hint"))).drop("text")
     rows = cut(rows.withColumn("k", F.concat_ws("\u0001", "spelling", F.coalesce("hint", F.lit("")))), "mentions")
     counted = cut(rows.groupBy("k", "spelling", "hint").agg(F.count(F.lit(1)).alias("n")), "spelling-counts")

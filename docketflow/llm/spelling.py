@@ -243,9 +243,10 @@ def person_cost(m: Mention, p: Profile) -> float | None:
         best = cost if best is None else min(best, cost)
     if best is None and m.lone:
         for g in {p.given, *p.nicks}:
-            for handle, c in ((p.given[0] + p.surname, 1.0), (p.surname + p.given[0], 1.0), (g + p.surname, 0.0), (p.surname + g, 0.0)):
-                e = edits(m.lone, handle, 1 if len(handle) > 6 else 0)
-                if e <= (1 if len(handle) > 6 else 0):
+            # a letter may be wrong where the whole name is there; with an initial only, it could be another name
+            for handle, c, most_ in ((p.given[0] + p.surname, 1.0, 0), (p.surname + p.given[0], 1.0, 0), (g + p.surname, 0.0, 1), (p.surname + g, 0.0, 1)):
+                e = edits(m.lone, handle, most_)
+                if e <= most_:
                     best = c + e if best is None else min(best, c + e)
     return best
 
