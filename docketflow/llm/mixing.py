@@ -7,7 +7,7 @@ then fits a rate per document, between zero and the greatest number of uses, so
 that the expected tokens per source meet the targets. The steps are scaled by
 the tokens of each document and source, so that documents of equal membership
 keep equal rates whatever their length. Rates become whole numbers of uses by
-systematic rounding along the lengths within each source.
+carrying what is owed in tokens from the longest document to the shortest.
 
 Only the classifier is fitted on a sample, of at most about ``train_docs``
 labelled documents chosen by a hash of their ids. Every document is counted,
@@ -165,22 +165,29 @@ def _totals(members: DataFrame, most: np.ndarray, start: np.ndarray, steps: list
 def fit_rates(members: DataFrame, shares: np.ndarray, most: np.ndarray, tolerance: float = 1e-4, max_steps: int = 30) -> tuple[np.ndarray, list[np.ndarray]]:
     """Start rate per source and projected-gradient steps of least squares.
 
-    The total is the greatest that all targets allow: the scarcest source, used
-    as often as it may be, sets it.
+    The total is the greatest that all targets allow: the scarcest source, with
+    every document used as often as it may be, sets it. Steps end when the
+    targets are met or a step no longer brings them nearer.
     """
     k = len(shares)
-    unlimited = np.full(k, np.inf)
-    stock = _totals(members, unlimited, np.ones(k), [])
-    wanted = (shares > 0) & (stock > 0)
+    stock = _totals(members, np.full(k, np.inf), np.ones(k), [])
+    reach = _totals(members, most, np.full(k, 1e9), [])
+    wanted = (shares > 0) & (reach > 0)
     if not wanted.any():
         return np.zeros(k), []
-    size = (most[wanted] * stock[wanted] / shares[wanted]).min()
+    size = (reach[wanted] / shares[wanted]).min()
     target = np.where(wanted, shares * size, 0.0)
     start = np.where(wanted, target / np.maximum(stock, 1e-9), 0.0)
     steps: list[np.ndarray] = []
+    nearest = np.inf
     while len(steps) < max_steps:
         residual = _totals(members, most, start, steps) - target
-        if np.abs(residual).max() <= tolerance * size:
+        distance = np.abs(residual).max() / size
+        if distance > 0.9 * nearest:
+            steps.pop()  # the step before was no gain
+            break
+        nearest = distance
+        if distance <= tolerance:
             break
         steps.append(np.where(stock > 0, residual / np.maximum(stock, 1e-9), 0.0))
     return start, steps
@@ -200,13 +207,16 @@ def draw(members: DataFrame, sources: list[str], most: np.ndarray, start: np.nda
             )
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "n_tokens", "doc_id"], ignore_index=True)
-        upto = pdf.groupby("s")["rate"].cumsum().to_numpy()
-        # exact for whole rates in spite of rounding errors
-        edge = np.floor(upto + 0.5 + 1e-9)
-        first = (pdf["s"] != pdf["s"].shift()).to_numpy()
-        before = np.where(first, 0.0, np.concatenate(([0.0], edge[:-1])))
-        pdf["draws"] = np.minimum(edge - before, np.ceil(pdf["rate"].to_numpy() - 1e-9)).astype("int32")
+        pdf = pdf.sort_values(["s", "n_tokens", "doc_id"], ascending=[True, False, True], ignore_index=True)
+        base = np.floor(pdf["rate"].to_numpy() + 1e-9)
+        draws, owed, last = base.astype("int32"), 0.0, None
+        # longest first, one use more wherever that brings the tokens drawn so far nearer to those expected
+        for i, (s, n, extra) in enumerate(zip(pdf["s"], pdf["n_tokens"], pdf["rate"].to_numpy() - base)):
+            owed, last = (0.0 if s != last else owed) + extra * n, s
+            if extra > 1e-9 and owed >= n / 2:
+                draws[i] += 1
+                owed -= n
+        pdf["draws"] = draws
         pdf["drawn_as"] = [sources[s] for s in pdf["s"]]
         return pdf.loc[pdf["draws"] > 0, ["doc_id", "source", "drawn_as", "n_tokens", "draws"]]
 
