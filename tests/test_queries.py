@@ -7,9 +7,9 @@ from tests.oracle import canonical, connect
 
 
 def _names():
-    from docketflow.plans import pipeline_queries, reference_queries, source_queries
+    from docketflow.plans import pipeline_queries, reference_queries, source_queries, sql_queries
 
-    return [n for m in (pipeline_queries, reference_queries, source_queries) for n in m.QUERIES]
+    return [n for m in (pipeline_queries, reference_queries, source_queries, sql_queries) for n in m.QUERIES]
 
 
 @pytest.mark.parametrize("name", _names())
