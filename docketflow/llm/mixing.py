@@ -36,6 +36,7 @@ FEATURES = 4096
 TRAIN_DOCS = 4_000
 MAX_SOURCES = 1_000
 BUCKET_ROWS = 50_000
+DAMPING = [4.0**-i for i in range(12)]
 MEMBER = "doc_id bigint, source string, n_tokens int, label int, member array<float>"
 
 
@@ -162,14 +163,86 @@ def _totals(members: DataFrame, most: np.ndarray, start: np.ndarray, steps: list
     return out
 
 
-def fit_rates(members: DataFrame, shares: np.ndarray, most: np.ndarray, tolerance: float = 1e-4, max_steps: int = 30) -> tuple[np.ndarray, list[np.ndarray]]:
+def _along(members: DataFrame, most: np.ndarray, start: np.ndarray, steps: list[np.ndarray], tried: list[np.ndarray]) -> np.ndarray:
+    """Per gradient tried as the next step: the part of an implicit step's potential that documents add up to, then the tokens per source."""
+    k = len(most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(tried), k + 1))
+        for b in batches:
+            p, n = _matrix(b.column(1).to_numpy(zero_copy_only=False).astype(float), b.column(2).to_pylist(), k), b.column(0).to_numpy()
+            w, cap = _rates(p, most, start, steps), most[p.argmax(1)]
+            for i, g in enumerate(tried):
+                x = w - p @ g
+                c = np.clip(x, 0, cap)
+                sums[i] += [n @ (c * x - c * c / 2), *((c * n) @ p)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size), pa.int32()), pa.array(sums.ravel())], names=["at", "total"])
+
+    rows = members.select("n_tokens", "label", "member").mapInArrow(run, "at int, total double").groupBy("at").agg(F.sum("total")).collect()
+    out = np.zeros(len(tried) * (k + 1))
+    for i, total in rows:
+        out[i] = total
+    return out.reshape(len(tried), k + 1)
+
+
+def _curvature(members: DataFrame, most: np.ndarray, start: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """How tokens per source change with the last step, from the documents whose rates are at neither bound."""
+    k = len(most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for b in batches:
+            p = _matrix(b.column(1).to_numpy(zero_copy_only=False).astype(float), b.column(2).to_pylist(), k)
+            x = _rates(p, most, start, steps[:-1]) - p @ steps[-1]
+            free = (x > 0) & (x < most[p.argmax(1)])
+            total += (p[free].T * b.column(0).to_numpy()[free]) @ p[free]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.ravel()[at])], names=["at", "total"])
+
+    out = np.zeros(k * k)
+    for i, total in members.select("n_tokens", "label", "member").mapInArrow(run, "at int, total double").groupBy("at").agg(F.sum("total")).collect():
+        out[i] = total
+    return out.reshape(k, k)
+
+
+def _implicit_step(members: DataFrame, most: np.ndarray, start: np.ndarray, steps: list[np.ndarray], first: np.ndarray, target: np.ndarray, weight: np.ndarray, enough: float) -> np.ndarray:
+    """The scaled gradient at the end of a projected step whose length is stock / weight.
+
+    It is the minimum of a convex potential, found by damped Newton steps.
+    """
+    g = first
+
+    def potential(tried: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        sums = _along(members, most, start, steps, tried)
+        return [(float((t * t * weight).sum() / 2 + target @ t + x[0]), weight * t + target - x[1:]) for t, x in zip(tried, sums)]
+
+    ((value, slope),) = potential([g])
+    while np.abs(slope).max() > enough:
+        curve = np.diag(weight) + _curvature(members, most, start, [*steps, g])
+        newton = np.linalg.lstsq(curve, slope, rcond=None)[0]
+        tried = [g - t * newton for t in DAMPING]
+        reached = potential(tried)
+        best = min(range(len(tried)), key=lambda i: reached[i][0])
+        if not reached[best][0] < value:
+            break
+        g, (value, slope) = tried[best], reached[best]
+    return g
+
+
+def fit_rates(members: DataFrame, shares: np.ndarray, most: np.ndarray, tolerance: float = 1e-4) -> tuple[np.ndarray, list[np.ndarray]]:
     """Start rate per source and projected-gradient steps of least squares.
 
     The total is the greatest that all targets allow: the scarcest source, with
-    every document used as often as it may be, sets it. Steps end when the
-    targets are met or a step no longer brings them nearer.
+    every document used as often as it may be, sets it. Steps end when every
+    source is within ``tolerance`` of the total from its target, or when the sum
+    of squares (each weighted by its source's tokens) no longer falls; every step
+    that lowers it is kept. The first step is explicit. Rates at their bounds make
+    such steps slow, so later ones are implicit, each ten times as long as the
+    one before; they come to the least sum after a few.
     """
     k = len(shares)
+    # documents of equal membership have equal rates
+    members = cut(members.groupBy("label", "member").agg(F.sum(F.col("n_tokens").cast("long")).alias("n_tokens")), "distinct-memberships")
     stock = _totals(members, np.full(k, np.inf), np.ones(k), [])
     reach = _totals(members, most, np.full(k, 1e9), [])
     wanted = (shares > 0) & (reach > 0)
@@ -178,18 +251,18 @@ def fit_rates(members: DataFrame, shares: np.ndarray, most: np.ndarray, toleranc
     size = (reach[wanted] / shares[wanted]).min()
     target = np.where(wanted, shares * size, 0.0)
     start = np.where(wanted, target / np.maximum(stock, 1e-9), 0.0)
+    scale = np.where(stock > 0, stock, 1.0)
     steps: list[np.ndarray] = []
-    nearest = np.inf
-    while len(steps) < max_steps:
-        residual = _totals(members, most, start, steps) - target
-        distance = np.abs(residual).max() / size
-        if distance > 0.9 * nearest:
-            steps.pop()  # the step before was no gain
-            break
-        nearest = distance
-        if distance <= tolerance:
+    residual, length = _totals(members, most, start, steps) - target, 1.0
+    while np.abs(residual).max() > tolerance * size:
+        step = residual / scale
+        if length > 1:
+            step = _implicit_step(members, most, start, steps, step, target, scale / length, tolerance * size / 1000)
+        after = _totals(members, most, start, [*steps, step]) - target
+        if not (after**2 / scale).sum() < (residual**2 / scale).sum():
             break
-        steps.append(np.where(stock > 0, residual / np.maximum(stock, 1e-9), 0.0))
+        steps.append(step)
+        residual, length = after, max(100.0, length * 10)
     return start, steps
 
 

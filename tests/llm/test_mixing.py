@@ -53,3 +53,38 @@ def test_little_data(spark, rows):
     drawn = mixing.mix(spark.createDataFrame(rows, DOCS), targets)
     assert drawn.count() <= len(rows)
     assert mixing.mix(spark.createDataFrame(rows, DOCS), targets.limit(0)).count() == 0
+
+
+def _mixed_members(spark, seed, concentration, n=3000, k=8):
+    """Skewed sources, a third of the documents without label and of mixed membership."""
+    rng = np.random.default_rng(seed)
+    often = 0.6 ** np.arange(k) / (0.6 ** np.arange(k)).sum()
+    label = rng.choice(k, n, p=often)
+    p, unlabelled = np.eye(k)[label], rng.random(n) < 0.33
+    p[unlabelled] = [rng.dirichlet(concentration * k * (0.5 * often + 0.5 * np.eye(k)[c])) for c in label[unlabelled]]
+    p = p.astype(np.float32).astype(float)
+    tokens = np.exp(rng.normal(5, 1.2, n)).astype(int) + 1
+    rows = [(i, None, int(tokens[i]), None if u else int(label[i]), p[i].tolist() if u else None) for i, u in enumerate(unlabelled)]
+    return spark.createDataFrame(rows, mixing.MEMBER).coalesce(4), p, tokens, rng.integers(1, 5, k).astype(float)
+
+
+@pytest.mark.parametrize(("seed", "concentration", "reachable"), [(4, 0.03, True), (3, 0.2, False)])
+def test_fit_goes_on_while_least_squares_fall(spark, seed, concentration, reachable):
+    """A source at its repeat cap doesn't end the fit for the others; the end is the tolerance or the least sum of squares."""
+    members, p, tokens, most = _mixed_members(spark, seed, concentration)
+    shares = np.full(len(most), 1 / len(most))
+    start, steps = mixing.fit_rates(members, shares, most)
+    cap, stock = most[p.argmax(1)], tokens @ p
+    size = ((cap * tokens) @ p / shares).min()
+    residual = lambda w: (w * tokens) @ p - shares * size
+    squares = lambda w: float((residual(w) ** 2 / stock).sum())
+    reached = mixing._rates(p, most, start, steps)
+    sums = [squares(mixing._rates(p, most, start, steps[:i])) for i in range(len(steps) + 1)]
+    assert all(b < a for a, b in zip(sums, sums[1:]))
+    if reachable:
+        assert np.abs(residual(reached)).max() <= 1e-4 * size
+    else:
+        w = np.clip(p @ start, 0, cap)
+        for _ in range(3000):  # plain steps come to the least sum from above
+            w = np.clip(w - p @ (residual(w) / stock), 0, cap)
+        assert squares(reached) <= squares(w) * (1 + 1e-9)
