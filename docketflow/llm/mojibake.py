@@ -10,7 +10,8 @@ sequences checked for validity and results for plausibility in the corpus.
 Characters lost to U+FFFD are restored from the clean run of the same
 neighbourhood.
 
-What crosses the network is counted runs, not texts. The driver sees evidence
+Distinct texts cross the network once, so that copies of a text have no vote;
+after that counted runs do. The driver sees evidence
 per decoding, counts of characters and of neighbouring letters; the size of the
 alphabets bounds these.
 
@@ -38,7 +39,7 @@ REPAIRED = "tab string, fld string, row_id bigint, text string, restored string,
 
 
 def count_runs(values: DataFrame) -> DataFrame:
-    """(side, run, n): runs by neighbourhood. Each task combines its counts before the shuffle."""
+    """(side, run, n): runs by neighbourhood, counted over distinct texts. Each task combines its counts before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: Counter = Counter()
@@ -57,13 +58,15 @@ def count_runs(values: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return cut(values.select("text").mapInArrow(run, RUNS).groupBy("side", "run").agg(F.sum("n").alias("n")), "runs")
+    # copies of a text have no vote
+    return cut(values.select("text").distinct().mapInArrow(run, RUNS).groupBy("side", "run").agg(F.sum("n").alias("n")), "runs")
 
 
 def clean_runs(runs: DataFrame) -> DataFrame:
-    """(side, clean, n_clean): the most frequent run without lost characters of each neighbourhood."""
+    """(side, clean, n_clean): the most frequent run without lost characters of each neighbourhood; of equal ones, the most frequent anywhere."""
     whole = runs.filter(~F.contains("run", F.lit(LOST)))
-    return whole.groupBy("side").agg(F.max_by("run", F.struct("n", "run")).alias("clean"), F.max("n").alias("n_clean"))
+    anywhere = whole.groupBy("run").agg(F.sum("n").alias("total"))
+    return whole.join(anywhere, "run").groupBy("side").agg(F.max_by("run", F.struct("n", "total", "run")).alias("clean"), F.max("n").alias("n_clean"))
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +92,9 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 other = undo_run(r, wrong, right)
                 if other is not None and other != r and RUN.fullmatch(other):
                     others.setdefault(other, []).append(str(k))
-            rows += [(n, other, ",".join(ways)) for other, ways in others.items()]
-        kinds = (pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["n", "run", "ways"])
+            rows += [(r, n, other, ",".join(ways)) for other, ways in others.items()]
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["misread", "n", "run", "ways"])
 
 
 def choose(evidence: dict[tuple[int, ...], int]) -> list[tuple[str, str]]:
@@ -115,21 +118,26 @@ def learn(runs: DataFrame, clean: DataFrame) -> Repairer:
     twins = runs.join(clean, "side").filter((F.col("run") != F.col("clean")) & (F.col("n") <= F.col("n_clean")) & (F.length("run") > 1))
     aligned = twins.select("run", "clean").distinct().mapInArrow(_align, "ways string, n bigint")
     words = cut(runs.groupBy("run").agg(F.sum("n").alias("n")), "run-words")
-    read = words.mapInArrow(_readings, "n bigint, run string, ways string").join(words.withColumnRenamed("n", "n_clean"), "run").filter("n < n_clean")
+    read = cut(words.mapInArrow(_readings, "misread string, n bigint, run string, ways string").join(words.withColumnRenamed("n", "n_clean"), "run").filter("n < n_clean"), "readings")
     evidence = aligned.unionByName(read.groupBy("ways").agg(F.count(F.lit(1)).alias("n"))).groupBy("ways").agg(F.sum("n").alias("n"))
     learned = choose({tuple(map(int, ways.split(","))): n for ways, n in evidence.collect()})
 
+    # a run with a more frequent reading has no vote on which letters stand side by side
+    used = F.array(*(F.lit(str(TRANSFORMATIONS.index(way))) for way in learned)).cast("array<string>")
+    misread = read.filter(F.arrays_overlap(F.split("ways", ","), used)).select(F.col("misread").alias("run")).distinct().withColumn("votes", F.lit(False))
+    voters = words.join(misread, "run", "left").select("run", "n", F.coalesce("votes", F.lit(True)).alias("votes"))
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for b in batches:
-            for r, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for r, n, votes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 for i, c in enumerate(r):
                     found[c] += n
-                    if i and c.isalpha() and c < "Ԁ":
+                    if votes and i and c.isalpha() and c < "Ԁ":
                         found[r[i - 1] + c] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "n"])
 
-    counts = words.mapInArrow(grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    counts = voters.mapInArrow(grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     known = {g: n for g, n in zip(counts["gram"], counts["n"]) if len(g) == 1 and g != LOST}
     pairs = {g: n for g, n in zip(counts["gram"], counts["n"]) if len(g) == 2}
     return Repairer(learned, known, pairs)
@@ -166,7 +174,11 @@ def repair(values: DataFrame) -> DataFrame:
             rows = b.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(restored, pa.string()), pa.array(whole, pa.bool_())], names=["tab", "fld", "row_id", "text", "restored", "whole"])
 
-    return _restore_lost(cut(values.mapInArrow(run, REPAIRED), "repaired"), clean)
+    def readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not shared.value.repair(r)[1] for r in b.column(1).to_pylist()], pa.bool_()))
+
+    return _restore_lost(cut(values.mapInArrow(run, REPAIRED), "repaired"), clean_runs(runs.mapInArrow(readable, RUNS)))
 
 
 def _restore_lost(repaired: DataFrame, clean: DataFrame) -> DataFrame:

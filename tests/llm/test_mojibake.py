@@ -49,3 +49,13 @@ def test_lost_characters(spark):
 
 def test_empty(spark):
     assert mojibake.repair(spark.createDataFrame([], VALUES)).count() == 0
+
+
+def test_copies_have_no_vote(spark):
+    """A garbled text that is repeated more often than all clean ones is still found."""
+    _, _, clean, _ = _corpus()
+    bad = [_misread(f"вопрос о знаках Place{k}", "cp1251", "cp1252") for k in range(3)]
+    rows = [("t", "f", k, x, None, None) for k, x in enumerate(clean)] + [("t", "f", -1 - k, bad[0] if k > 1 else bad[k + 1], None, None) for k in range(2000)]
+    out = {r["row_id"]: r["restored"] for r in mojibake.repair(spark.createDataFrame(rows, VALUES)).collect()}
+    assert set(out) == {-1 - k for k in range(2000)}
+    assert {out[-1], out[-2], out[-3]} == {f"вопрос о знаках Place{k}" for k in range(3)}
