@@ -2,10 +2,17 @@
 
 Shortest-pack-first over the length histogram: lengths are placed longest first,
 each into the containers with the most free space. Containers of equal content
-are one range with a count, so the driver's work and memory depend on the number
-of lengths, which the capacity bounds, and not on the number of documents. The
-result is a list of intervals, "documents of length l and ranks a..b go to the
-containers from c on", and documents find theirs by length and rank.
+are one pattern with a count; placing a length updates the counts. The driver's
+work and memory depend on the number of lengths, which the capacity bounds, and
+not on the number of documents: a length adds at most two patterns, so there are
+at most twice as many patterns as lengths, and a pattern holds at most
+sqrt(2 * capacity) different lengths.
+
+Patterns are joined back to documents by rank: a pattern takes a range of the
+ranks of each of its lengths. Ranges are cut into blocks of ranks, so that
+(limit, length, block) is an equi-join. A length's blocks are as long as its
+ranges are on average, hence a document meets three ranges on average at most,
+and no block is longer than ``BLOCK`` ranks, however frequent a length is.
 
 A document longer than the capacity fills containers of its own; only its rest is
 packed with others. Ranks come from counts per scan partition and length, so that
@@ -21,18 +28,19 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketflow.llm.tokens import VOCABULARY, token_ids
+from docketflow.operators.prefix import running_totals
 from docketflow.runtime import cut
 
 COUNTED = "doc_id bigint, n_tokens int, part int, k bigint"
-PLACED = "limit_id int, container_id bigint, doc_id bigint, piece int, piece_tokens int, unused_tokens int"
-MAX_INTERVALS = 2_000_000
+PLAN = "limit_id int, rest int, block bigint, first bigint, n bigint, container bigint, boxes bigint, unused int"
+BLOCK = 1_000_000
 
 
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -55,40 +63,79 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     return cut(documents.select("doc_id", "text").mapInArrow(run, COUNTED), "token-counts")
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
-    """Intervals (length, first rank, count, first container) and ranges (first container, count, free space)."""
-    spaces: dict[int, list[tuple[int, int]]] = {}  # free space -> ranges (first container, count)
+def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, dict[int, int]]]:
+    """Patterns (containers, free space, {length: times}) in which the documents of ``histogram`` (length: documents) fit."""
+    # free space -> patterns (containers, content); content is a chain (length, content before it)
+    spaces: dict[int, list[tuple[int, tuple | None]]] = {}
     order: list[int] = []  # heap of negated free spaces
-    intervals, opened = [], 0
 
-    def put(space: int, first: int, count: int) -> None:
+    def put(space: int, count: int, content: tuple | None) -> None:
         if space not in spaces:
             spaces[space] = []
             heapq.heappush(order, -space)
-        spaces[space].append((first, count))
+        spaces[space].append((count, content))
 
     for length in sorted((x for x in histogram if x > 0), reverse=True):
-        left, rank = histogram[length], 0
+        left = histogram[length]
         while left:
             if not order or -order[0] < length:
-                new = -(-left // (capacity // length))
-                put(capacity, opened, new)
-                opened += new
+                put(capacity, -(-left // (capacity // length)), None)
             space = -order[0]
-            first, count = spaces[space].pop()
+            count, content = spaces[space].pop()
             if not spaces[space]:
                 del spaces[space]
                 heapq.heappop(order)
             taken = min(count, left)
-            intervals.append((length, rank, taken, first))
-            put(space - length, first, taken)
+            put(space - length, taken, (length, content))
             if count > taken:
-                put(space, first + taken, count - taken)
-            left, rank = left - taken, rank + taken
-    return intervals, sorted((first, count, space) for space, ranges in spaces.items() for first, count in ranges)
+                put(space, count - taken, content)
+            left -= taken
+    patterns = []
+    for space, same in sorted(spaces.items()):
+        for count, content in same:
+            times: dict[int, int] = {}
+            while content is not None:
+                times[content[0]] = times.get(content[0], 0) + 1
+                content = content[1]
+            patterns.append((count, space, times))
+    return patterns
 
 
-def pack(counted: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
+def block_size(n_documents: int, n_ranges: int, most: int) -> int:
+    """Ranks per block: the mean length of a range, so that meeting all ranges of a block stays linear in the documents."""
+    return max(1, min(most, n_documents // max(1, n_ranges)))
+
+
+def rank_ranges(histogram: dict[int, int], capacity: int, most: int = BLOCK) -> tuple[list[tuple[int, int, int, int, int, int, int]], dict[int, int], int]:
+    """Ranges (length, block, first rank, ranks, first container, containers, free space), ranks per block by length, and the number of containers.
+
+    Documents without tokens go round all containers.
+    """
+    patterns = pack_histogram(histogram, capacity)
+    opened = sum(count for count, _, _ in patterns)
+    empty = histogram.get(0, 0)
+    if empty and not opened:
+        patterns, opened = [(1, capacity, {})], 1
+    ranges: dict[int, list[tuple[int, int, int, int]]] = {}
+    at = 0
+    for count, space, times in patterns:
+        for length, k in times.items():
+            ranges.setdefault(length, []).append((k * count, at, count, space))
+        if empty:
+            ranges.setdefault(0, []).append((-(-empty // opened) * count, at, count, space))
+        at += count
+    rows, sizes = [], {}
+    for length, of_length in ranges.items():
+        size = sizes[length] = block_size(histogram[length], len(of_length), most)
+        first = 0
+        for n, container, boxes, space in of_length:
+            end = min(first + n, histogram[length])
+            rows += [(length, block, first, n, container, boxes, space) for block in range(first // size, -(-end // size) if end > first else first // size)]
+            first += n
+    return rows, sizes, opened
+
+
+def pack(counted: DataFrame, limits: list[tuple[int, int]], block: int = BLOCK) -> DataFrame:
     """(limit_id, container_id, doc_id, piece, piece_tokens, unused_tokens) for each (limit_id, capacity).
 
     ``limits`` is a short list of sizes to try. piece counts from 0 within a
@@ -97,83 +144,58 @@ def pack(counted: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
     spark = counted.sparkSession
     cells = cut(counted.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("n")), "token-histogram")
     sizes = F.array(*(F.struct(F.lit(limit).cast("int").alias("limit_id"), F.lit(capacity).cast("int").alias("capacity")) for limit, capacity in limits))
-    by_limit = cells.select("*", F.inline(sizes))
     over = F.col("n_tokens") > F.col("capacity")
-    by_limit = by_limit.select(
-        "*",
-        F.when(over, F.col("n_tokens") % F.col("capacity")).otherwise(F.col("n_tokens")).alias("rest"),
-        F.when(over, F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(F.lit(0)).cast("long").alias("whole"),
-    ).withColumn("packed", (F.col("rest") > 0) | (F.col("n_tokens") == 0))
+    by_limit = (
+        cells.select("*", F.inline(sizes))
+        .select(
+            "*",
+            F.when(over, F.col("n_tokens") % F.col("capacity")).otherwise(F.col("n_tokens")).alias("rest"),
+            F.when(over, F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(F.lit(0)).cast("long").alias("whole"),
+        )
+        .withColumn("packed", (F.col("rest") > 0) | (F.col("n_tokens") == 0))
+    )
     # at most `capacity` rows per limit
     histograms: dict[int, dict[int, int]] = {limit: {} for limit, _ in limits}
     for limit, rest, n in by_limit.filter("packed").groupBy("limit_id", "rest").agg(F.sum("n")).collect():
         histograms[limit][rest] = n
-    plans = {limit: pack_histogram(histograms[limit], capacity) for limit, capacity in limits}
-    opened = {limit: max((a + n for a, n, _ in ranges), default=0) for limit, (_, ranges) in plans.items()}
-
-    before = Window.partitionBy("limit_id", "rest", "packed").orderBy("n_tokens", "part").rowsBetween(Window.unboundedPreceding, -1)
-    full = Window.partitionBy("limit_id").orderBy("n_tokens", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_limit.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    alone = starts.filter("whole > 0").withColumn("alone", F.coalesce(F.sum(F.col("n") * F.col("whole")).over(full), F.lit(0)))
-    offsets = starts.filter("whole = 0").withColumn("alone", F.lit(0).cast("long")).unionByName(alone)
-    items = counted.join(offsets.drop("n", "capacity"), ["n_tokens", "part"]).select(
-        "limit_id", "doc_id", "n_tokens", "rest", "packed", "whole", (F.col("start") + F.col("k")).alias("rank"), (F.col("alone") + F.col("k") * F.col("whole")).alias("alone")
-    )
-    packed_intervals = sum(len(i) for i, _ in plans.values())
-    if packed_intervals > MAX_INTERVALS:
-        return _place_by_join(items, plans, opened, limits)
-    tables = {}
+    plan, spans, opened = [], [], {}
     for limit, capacity in limits:
-        intervals, ranges = plans[limit]
-        i = np.array(sorted((x[0], x[1], x[3]) for x in intervals), np.int64).reshape(-1, 3)
-        r = np.array(ranges, np.int64).reshape(-1, 3)
-        tables[limit] = (capacity, (i[:, 0] << 40) | i[:, 1], i[:, 1], i[:, 2], r[:, 0], r[:, 2], opened[limit])
-    shared = spark.sparkContext.broadcast(tables)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            limit_ids, doc_ids, tokens, rests, packed, whole, rank, alone = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            for limit, (capacity, keys, firsts, at, range_first, free, n_opened) in shared.value.items():
-                own = np.flatnonzero(limit_ids == limit)
-                some = own[packed[own]]
-                container = rank[some] % max(1, n_opened)
-                filled = rests[some] > 0
-                found = np.searchsorted(keys, (rests[some][filled].astype(np.int64) << 40) | rank[some][filled], "right") - 1
-                container[filled] = at[found] + rank[some][filled] - firsts[found]
-                unused = free[np.searchsorted(range_first, container, "right") - 1] if n_opened else np.full(len(container), capacity)
-                yield _rows(limit, container, doc_ids[some], whole[some], rests[some], unused)
-                large = own[whole[own] > 0]
-                times = whole[large]
-                piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                ones = np.full(len(piece), capacity)
-                base = max(n_opened, 1)  # the container of empty texts, if there is no other
-                yield _rows(limit, base + np.repeat(alone[large], times) + piece, np.repeat(doc_ids[large], times), piece, ones, 0 * ones)
-
-    return items.mapInArrow(place, PLACED)
-
-
-def _rows(limit: int, container: np.ndarray, doc_id: np.ndarray, piece: np.ndarray, tokens: np.ndarray, unused: np.ndarray) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-    columns = (np.full(len(container), limit), container, doc_id, piece, tokens, unused)
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in PLACED.split(", ")])
-
-
-def _place_by_join(items: DataFrame, plans: dict, opened: dict[int, int], limits: list[tuple[int, int]]) -> DataFrame:
-    """The same placement with the intervals as a table, for plans too large to broadcast."""
-    spark = items.sparkSession
-    intervals = spark.createDataFrame([(limit, *i) for limit, (ii, _) in plans.items() for i in ii], "limit_id int, rest int, first long, n long, at long")
-    free = spark.createDataFrame([(limit, *r) for limit, (_, rr) in plans.items() for r in rr], "limit_id int, range_first long, n_range long, unused_tokens int")
-    totals = spark.createDataFrame([(limit, capacity, opened[limit]) for limit, capacity in limits], "limit_id int, capacity int, opened long")
-    items = items.join(F.broadcast(totals), "limit_id")
-    filled = items.filter("rest > 0").join(intervals, ["limit_id", "rest"]).filter("rank >= first AND rank < first + n").withColumn("container_id", F.expr("at + rank - first"))
-    empty = items.filter("n_tokens = 0").withColumn("container_id", F.expr("rank % greatest(1, opened)"))
-    cols = ["limit_id", "container_id", "doc_id", F.col("whole").cast("int").alias("piece"), F.col("rest").alias("piece_tokens")]
-    packed = filled.select(*cols).unionByName(empty.select(*cols)).join(free, "limit_id", "left").filter("container_id >= range_first AND container_id < range_first + n_range")
-    pieces = F.posexplode(F.expr("sequence(cast(1 as bigint), whole)")).alias("piece", "unit")
-    alone = items.filter("whole > 0").select("limit_id", "doc_id", "capacity", "opened", "alone", pieces).selectExpr(
-        "limit_id", "greatest(opened, 1) + alone + piece AS container_id", "doc_id", "piece", "capacity AS piece_tokens", "0 AS unused_tokens"
+        ranges, sizes_of, opened[limit] = rank_ranges(histograms[limit], capacity, block)
+        plan += [(limit, *r) for r in ranges]
+        spans += [(limit, length, size) for length, size in sizes_of.items()]
+    names = [c.split()[0] for c in PLAN.split(", ")]
+    plan_table = cut(spark.createDataFrame(pd.DataFrame(plan, columns=names).astype("int64"), PLAN), "packing-plan")
+    span_table = spark.createDataFrame(pd.DataFrame(spans, columns=["limit_id", "rest", "size"]).astype("int64"), "limit_id int, rest int, size bigint")
+
+    before = Window.partitionBy("limit_id", "rest").orderBy("n_tokens", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_limit.filter("packed").withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).join(span_table, ["limit_id", "rest"])
+    ranked = counted.join(starts.select("limit_id", "n_tokens", "part", "rest", "whole", "start", "size"), ["n_tokens", "part"]).withColumn("rank", F.col("start") + F.col("k"))
+    packed = (
+        ranked.withColumn("block", F.floor(F.col("rank") / F.col("size")).cast("long"))
+        .join(plan_table, ["limit_id", "rest", "block"])
+        .filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+        .select(
+            "limit_id", (F.col("container") + (F.col("rank") - F.col("first")) % F.col("boxes")).alias("container_id"), "doc_id",
+            F.col("whole").cast("int").alias("piece"), F.col("rest").alias("piece_tokens"), F.col("unused").alias("unused_tokens"),
+        )
+    )
+    return packed.unionByName(_pieces(counted, by_limit.filter("whole > 0"), opened))
+
+
+def _pieces(counted: DataFrame, large: DataFrame, opened: dict[int, int]) -> DataFrame:
+    """Containers filled by one piece of an oversize document each, numbered after those that are shared."""
+    totals = running_totals(large.withColumn("full", F.col("n") * F.col("whole")), ["limit_id", "n_tokens", "part"], {"upto": "full"})
+    # a limit's numbers begin after the pieces of the limits before it, which come first in that order
+    base, per_limit = 0, dict(totals.groupBy("limit_id").agg(F.sum("full")).collect())
+    offset = F.lit(None).cast("long")
+    for limit in sorted(opened):
+        offset = F.when(F.col("limit_id") == limit, F.lit(opened[limit] - base).cast("long")).otherwise(offset)
+        base += per_limit.get(limit, 0)
+    starts = totals.select("limit_id", "capacity", "n_tokens", "part", "whole", (F.col("upto") - F.col("full") + offset).alias("start"))
+    each = counted.join(starts, ["n_tokens", "part"]).select("limit_id", "capacity", "doc_id", (F.col("start") + F.col("k") * F.col("whole")).alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("piece"))
+    return each.select(
+        "limit_id", (F.col("start") + F.col("piece")).alias("container_id"), "doc_id", F.col("piece").cast("int").alias("piece"), F.col("capacity").alias("piece_tokens"), F.lit(0).alias("unused_tokens")
     )
-    return packed.select("limit_id", "container_id", "doc_id", "piece", "piece_tokens", "unused_tokens").unionByName(alone)
 
 
 def fill_report(placed: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
