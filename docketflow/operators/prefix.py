@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from docketflow.runtime import cut
 
 
-def running_totals(df: DataFrame, order: list[str], totals: dict[str, str], partitions: int = 32) -> DataFrame:
+def running_totals(df: DataFrame, order: list[str], totals: dict[str, str], partitions: int | None = None) -> DataFrame:
     """Add, per ``totals`` (new column: summed column), the sum over all rows up to and with each row.
 
     Rows are range-partitioned by ``order`` (which must be unique for a defined
-    result); each partition sums its own rows, and the partitions' totals, whose
-    number is fixed, give the offsets. Null values count as zero.
+    result); each partition sums its own rows, and the partitions' totals, one row
+    for each of the session's shuffle partitions, give the offsets. Null values
+    count as zero.
     """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(df.repartitionByRange(partitions, *order).withColumn("_p", F.spark_partition_id()), "ranged")
     sums = sorted(ranged.groupBy("_p").agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(n) for n, c in totals.items())).collect())
     out, window = ranged, Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     for i, (name, column) in enumerate(totals.items(), 1):
-        offset, at = F.lit(0), 0
+        offsets, at = [F.lit(0)], 0
         for row in sums:
-            offset = F.when(F.col("_p") == row[0], F.lit(at)).otherwise(offset)
+            offsets += [F.lit(row[0]), F.lit(at)]
             at += row[i]
-        out = out.withColumn(name, F.sum(F.coalesce(column, F.lit(0))).over(window) + offset)
+        before = F.element_at(F.create_map(*offsets[1:]), F.col("_p")) if sums else F.lit(0)
+        out = out.withColumn(name, F.sum(F.coalesce(column, F.lit(0))).over(window) + before)
     return out.drop("_p")
