@@ -14,17 +14,6 @@ TITLES = set("dr prof professor doctor mr mrs ms miss mx sir dame rev hon herr f
 # Legal forms after a body's name.
 FORMS = set("inc ltd limited incorporated gmbh llc llp corp corporation co company plc ag sa bv kg oy ab mbh gesellschaft".split())
 SMALL = set("and of for the in on to de".split())
-# Short forms of given names, by the given name.
-NICKNAMES = {
-    "alexander": "alex al sandy sasha", "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs barbie", "beatriz": "bea", "benjamin": "ben benny", "catherine": "cathy cat kate",
-    "charles": "charlie chuck chas", "christopher": "chris kit topher", "daniel": "dan danny", "deborah": "deb debbie", "dorothea": "dot dora thea dottie dolly", "edward": "ed eddie ted ned teddy",
-    "elizabeth": "liz beth betsy lizzie eliza betty libby", "francisco": "paco pancho frank", "frederick": "fred freddie", "gabriel": "gabe", "gerald": "jerry gerry", "harold": "hal harry",
-    "isabel": "izzy bel isa bella", "jennifer": "jen jenny", "jonathan": "jon jonny", "joséphine": "jo josie", "katherine": "kate kathy kat katie", "kenneth": "ken kenny", "lawrence": "larry lars laurie",
-    "leonard": "len lenny leo", "madeleine": "maddie", "margaret": "maggie meg peggy marge greta", "mateus": "teo", "matthew": "matt", "michael": "mike mick mickey", "nathaniel": "nat nate", "nicholas": "nick nico",
-    "oluwaseun": "seun", "patricia": "pat patty trish tricia", "pedro": "pepe", "philip": "phil", "rebecca": "becky becca", "richard": "dick rick rich ricky", "robert": "bob rob bobby robbie bert",
-    "rosalind": "roz ros", "samuel": "sam sammy", "stephen": "steve", "susanna": "sue susie suzy sanna", "theodore": "ted teddy theo", "thomas": "tom tommy", "timothy": "tim timmy", "valentin": "val",
-    "victoria": "vicky tori vic", "walter": "walt wally", "william": "bill will billy liam", "zachary": "zach zack", "james": "jim jimmy", "john": "jack johnny", "joseph": "joe", "henry": "harry hank", "george": "geordie",
-}
 
 
 @lru_cache(maxsize=200_000)
@@ -171,7 +160,7 @@ def abbreviates(short: str, word: str) -> bool:
 
 @dataclass
 class Profile:
-    """A directory entry with what merged spellings have added."""
+    """A directory entry with what merged spellings have added: of nicknames, those that a mention in question holds."""
 
     contributor_id: int
     kind: str
@@ -194,10 +183,9 @@ class Profile:
             every = [w for w in words(plain.replace("&", " and ")) if w not in FORMS]
             p.acronyms = {"".join(w[0] for w in ws).upper() for ws in (p.body, every, [w for w in every if w not in ("the", "and")])}
         else:
-            parts = words(plain)
+            parts = words(plain) or [plain]
             p.given, p.parts = parts[0], parts[1:]
             p.surname = "".join(squeeze(x) for x in p.parts)
-            p.nicks = set(next((v.split() for k, v in NICKNAMES.items() if fold(k) == p.given), []))
         return p
 
 
@@ -291,60 +279,94 @@ def deletions(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) > 3 else {word}
 
 
-class Directory:
-    """Blocking index over profiles; it is rebuilt when profiles have become richer."""
-
-    def __init__(self, profiles: list[Profile]):
-        self.profiles = {p.contributor_id: p for p in profiles}
-        self.index: dict[str, list[int]] = {}
-        for p in profiles:
-            keys: set[str] = set()
-            if p.kind == "org":
-                for w in p.body:
-                    keys |= {"d:" + d for d in deletions(w)}
-                keys.add("d:" + "".join(w[0] for w in p.body))
-                keys |= {"a:" + a for a in p.acronyms}
-            else:
-                for w in (*p.parts, p.surname):
-                    keys |= {"d:" + d for d in deletions(squeeze(w))}
-                keys |= {"g:" + p.given, *("g:" + n for n in p.nicks)}
-                keys |= {"h:" + d for d in deletions(p.given[0] + p.surname) | deletions(p.surname + p.given[0]) | {p.given + p.surname, p.surname + p.given}}
-            for k in keys:
-                self.index.setdefault(k, []).append(p.contributor_id)
-        self.names = {p.name: p.contributor_id for p in profiles}
-
-    def candidates(self, m: Mention) -> set[int]:
-        keys: set[str] = set()
-        for t in m.tokens:
-            keys |= {"d:" + d for d in deletions(squeeze(t))}
-            keys.add("g:" + t)
-        for _, _, surname in m.readings:
-            keys |= {"d:" + d for d in deletions(surname)}
-        if m.acronym:
-            keys = {"a:" + m.acronym}
-        if m.lone:
-            keys |= {"h:" + d for d in deletions(m.lone)}
-        return {c for k in keys for c in self.index.get(k, ())}
-
-    def match(self, text: str, hint: str | None) -> tuple[int, float] | None:
-        """(contributor_id, cost) of the one entry that fits best; None if none or several do."""
-        m = read_mention(text)
-        scored = []
-        for c in self.candidates(m):
-            p = self.profiles[c]
-            cost = body_cost(m, p) if p.kind == "org" else person_cost(m, p)
-            if cost is not None:
-                scored.append((cost, c))
-        if not scored:
-            return None
-        scored.sort()
-        if len(scored) == 1 or scored[1][0] - scored[0][0] > 0.05:
-            # an initial or a bare surname doesn't tell namesakes apart, even if one of them is spelled better
-            return scored[0][1], scored[0][0]
-        if hint:
-            tied = [c for cost, c in scored if cost - scored[0][0] <= 0.05]
-            other = read_mention(hint)
-            second = sorted((x, c) for c in tied if (x := person_cost(other, self.profiles[c]) if self.profiles[c].kind != "org" else None) is not None)
-            if second and (len(second) == 1 or second[1][0] - second[0][0] > 0.5) and second[0][0] < 1:
-                return second[0][1], scored[0][0]
+def mention_keys(m: Mention) -> set[str]:
+    """Blocking keys of a mention: words with up to one letter left out, nicknames, initials with surname, acronyms, whole handles."""
+    if m.acronym:
+        keys = {"a:" + m.acronym}
+    else:
+        keys = {"g:" + t for t in m.tokens} | {"d:" + d for t in m.tokens for d in deletions(squeeze(t))}
+        keys |= {"d:" + d for _, _, surname in m.readings for d in deletions(surname)}
+        keys |= {f"m:{middle[0]}:{surname}" for _, middle, surname in m.readings if middle}
+    if m.nick:
+        keys.add("g:" + m.nick)
+    if m.lone:
+        keys |= {"h:" + d for d in deletions(m.lone)}
+    return keys
+
+
+def profile_keys(p: Profile) -> set[str]:
+    """Blocking keys of a directory entry by itself."""
+    if p.kind == "org":
+        keys = {"d:" + d for w in p.body for d in deletions(w)} | {"a:" + a for a in p.acronyms}
+        return keys | {"d:" + "".join(w[0] for w in p.body)}
+    keys = {"d:" + d for w in (*p.parts, p.surname) for d in deletions(squeeze(w))} | {"g:" + p.given}
+    handles = (p.given[:1] + p.surname, p.surname + p.given[:1], p.given + p.surname, p.surname + p.given)
+    return keys | {"h:" + d for h in handles for d in deletions(h)}
+
+
+def gained_keys(p: Profile, nick: str | None, initial: str | None) -> set[str]:
+    """Blocking keys that a profile gains with a nickname or an initial."""
+    keys = set()
+    if nick:
+        keys |= {"g:" + nick} | {"h:" + d for h in (nick + p.surname, p.surname + nick) for d in deletions(squeeze(h))}
+    if initial:
+        keys.add(f"m:{initial}:{p.surname}")
+    return keys
+
+
+def choose(m: Mention, profiles: list[Profile], hint: str | None) -> tuple[int, float] | None:
+    """(contributor_id, cost) of the one profile that fits best; None if none or several do."""
+    scored = []
+    for p in profiles:
+        cost = body_cost(m, p) if p.kind == "org" else person_cost(m, p)
+        if cost is not None:
+            scored.append((cost, p.contributor_id))
+    if not scored:
         return None
+    scored.sort()
+    if len(scored) == 1 or scored[1][0] - scored[0][0] > 0.05:
+        # an initial or a bare surname doesn't tell namesakes apart, even if one of them is spelled better
+        return scored[0][1], scored[0][0]
+    if hint:
+        by_id = {p.contributor_id: p for p in profiles}
+        tied = [c for cost, c in scored if cost - scored[0][0] <= 0.05]
+        other = read_mention(hint)
+        second = sorted((x, c) for c in tied if (x := person_cost(other, by_id[c]) if by_id[c].kind != "org" else None) is not None)
+        if second and (len(second) == 1 or second[1][0] - second[0][0] > 0.5) and second[0][0] < 1:
+            return second[0][1], scored[0][0]
+    return None
+
+
+#: Letters from which a whole name is long enough to be recognised with one of them wrong.
+LONG_NAME = 10
+
+
+def full_form(m: Mention) -> str:
+    """The words of a full name in any order, or '': no initials and no lone word, which fit several persons."""
+    rest = [t for t in m.tokens if t not in TITLES]
+    return " ".join(sorted(rest)) if len(rest) > 1 and all(len(t) > 2 for t in rest) else ""
+
+
+def form_keys(form: str) -> set[str]:
+    """Two forms that differ by one letter share a key; at most length x alphabet forms share one."""
+    return deletions(squeeze(form)) if len(squeeze(form)) >= LONG_NAME else {squeeze(form)}
+
+
+def same_form(a: str, b: str) -> bool:
+    a, b = squeeze(a), squeeze(b)
+    return a == b or min(len(a), len(b)) >= LONG_NAME and edits(a, b, 1) <= 1
+
+
+def told_nickname(text: str, local: str) -> list[tuple[str, str, str]]:
+    """(given name, nickname, surname) where an address's local part has another given name before or after the same surname.
+
+    A local part may be cut off after at least five letters of the surname.
+    """
+    found = []
+    for nick, _, surname in read_mention(text).readings:
+        for given, _, other in read_mention(local).readings:
+            if len(nick) < 2 or len(given) < 3 or edits(nick, given, 2) <= 2 and nick[0] == given[0] and len(nick) > 4:
+                continue
+            if nick != given and (other == surname or len(other) >= 5 and surname.startswith(other)):
+                found.append((given, nick, surname))
+    return found

@@ -12,6 +12,7 @@ MENTION = "tab string, fld string, row_id bigint, pos int, text string, hint str
 CASES = {
     "Elizabeth Marden": 1, " Elizabeth  Marden ": 1, "ELIZABETH MARDEN": 1, "Marden, Elizabeth": 1, "Marden Elizabeth": 1, "E. Marden": 1, "Marden, E.": 1, "Dr. Marden": 1, "Liz Marden": 1,
     'Elizabeth "Liz" Marden': 1, "Elizabeht Marden": 1, "Elizabeth Mrdenn": 1, "emarden": 1, "elizabeth.marden": 1, "marden_elizabeth": 1, "Elizabeth Q. Marden": 1,
+    'Edward "Ted" von Trask': 2,
     "Elizabeth Marden (Glyph Board)": 1, "Elizabeth Marden via list": 1, "Edward von Trask": 2, "von Trask, Ted": 2, "evontrask": 2, "Soren O'Dell-Reyes": 3, "sodell-reyes": 3,
     "E. Marsh": None, "Marsh, E.": None, "Ms. Marsh": None, "Edgar Marsh": 4, "Emil Mrash": 5, "Walter Marden": None, "Marden": None, "GFSP": 6, "Games, Flags and Sports Panel": 6, "Zizund": 7,
     "Zizund Systems": 7, "Zizund Systems Ltd.": 7, "ZIZUND SYTSEMS": 7, "Natl. Cttee for Sets": 8, "Nonsense Body": None, "": None, "   ": None, None: None, "x" * 5000: None,
@@ -35,6 +36,28 @@ def test_richer_profiles_match_again(spark):
     assert got == {0: 4, 1: 5, 2: 4, 3: 4, 4: 4, 5: 4}
 
 
+def test_spellings_are_united(spark):
+    """A nickname is known from the address, and a spelling too far from the entry is one letter from a united one."""
+    mentions = [("t", "f", 1, 1, "Betsy Marden", "elizabeth.marden", None, None), ("t", "f", 2, 1, "Betzy Marden", None, None, None), ("t", "f", 3, 1, "Zoe Marden", None, None, None)]
+    mentions += [("t", "f", 4, 1, "Edgar Marsh", "emil.marsh", None, None), ("t", "f", 5, 1, "Emil Marsh", None, None, None)]
+    assert {r["row_id"]: r["contributor_id"] for r in _link(spark, mentions).collect()} == {1: 1, 2: 1, 4: 4, 5: 5}
+
+
+def test_names_outside_the_directory(spark):
+    """Full names that are no entry form profiles, named after the most frequent spelling."""
+    texts = ["Wanda Kestrel", "Kestrel, Wanda", "Wanda Kestrel", "Wanda Kestrell", "Wanda Kestrl", "Otto Brandis", "W. Kestrel", "Emil Marsh"]
+    mentions = spark.createDataFrame([("t", "f", k, 1, x, None, None, None) for k, x in enumerate(texts)], MENTION)
+    rows = names.link_all(mentions, spark.createDataFrame(DIRECTORY, PEOPLE)).collect()
+    assert {r["row_id"]: r["profile"] or r["contributor_id"] for r in rows} == {**dict.fromkeys(range(5), "kestrel wanda"), 5: "brandis otto", 7: 5}
+
+
+def test_many_facts_of_one_entry(spark):
+    """No number of nicknames is too large."""
+    nicks = [f"{a}{b}x" for a in "bcdfghjklm" for b in ("aab", "eeb", "iib", "oob", "uub", "aad", "eed", "iid")]
+    mentions = [("t", "f", k, 1, text, None, None, None) for k, n in enumerate(nicks) for text in (f'Elizabeth "{n}" Marden', f"Marden, {n}")]
+    assert _link(spark, mentions).count() == 2 * len(nicks)
+
+
 def test_hint_hot_spelling_and_empty(spark):
     mentions = [("t", "f", k, 1, "emarsh", "emil.marsh" if k % 2 else "edgar.marsh", None, None) for k in range(600)]
     assert {(r["row_id"] % 2, r["contributor_id"]) for r in _link(spark, mentions).collect()} == {(0, 4), (1, 5)}
