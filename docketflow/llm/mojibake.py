@@ -1,214 +1,228 @@
 """Garbled text from wrong character encoding (problem 6).
 
-Each run of non-ASCII characters is keyed by its neighbourhood in the text
-stripped of non-ASCII characters. Runs under one key are near-twins: the most
-frequent one is taken as clean, and the others are aligned with it character by
-character to infer by which wrong decoding they arose. Runs whose correct
-reading under some decoding is itself a more frequent run are evidence too.
-Decodings with enough evidence are learned and applied to all records, with
-sequences checked for validity and results for plausibility in the corpus.
-Characters lost to U+FFFD are restored from the clean run of the same
-neighbourhood.
-
-Distinct texts cross the network once, so that copies of a text have no vote;
-after that counted runs do. The driver sees evidence
-per decoding, counts of characters and of neighbouring letters; the size of the
-alphabets bounds these.
+Distinct texts with non-ASCII characters are joined on what is left of them
+without these: near-twins are equal there and differ only in the runs of
+non-ASCII characters at the same places. Of the runs at one place, the most
+frequent in the corpus is taken as clean, and every other one is aligned with it
+character by character: either as the bytes of its UTF-8 form, which tells the
+byte that each character shown stands for, or one to one. From counts of such
+aligned characters, tables are inferred (``charsets.infer_*``), with no codec as
+a hypothesis about a text: where an inferred table agrees with a codec of the
+platform, that completes it with the characters not met. Learned tables are
+applied to all distinct texts, with sequences checked for validity and results
+for plausibility in the corpus, and the repaired ones are joined back to the
+rows. Characters lost to U+FFFD are restored from a whole near-twin, else from
+the same word elsewhere.
+
+Texts of the rows cross the network once, so that copies have no vote; after that
+digests and counted runs do. The driver sees counts of aligned characters, of
+characters and of neighbouring letters below U+0500: the alphabets bound these,
+and the tables that are broadcast. A text without ASCII letters or digits has no
+near-twins, as nothing is left of it; learned tables are applied to it as well.
 
 Cases: null, blank and ASCII texts are never garbled; a U+FFFD that the text
 itself names is correct; repeated rows are cases of their own; an empty corpus
-learns nothing.
+learns nothing. A wrong decoding is learned from at least three (UTF-8) or four
+(single-byte) aligned characters.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketflow.llm.charsets import LOST, RUN, TRANSFORMATIONS, Repairer, runs_with_context, undo_run
+from docketflow.llm.charsets import LOST, Repairer, align_single, align_utf8, infer_single, infer_utf8, stripped_runs, word_sides
+from docketflow.operators.skew import heavy_keys, salted_join
 from docketflow.runtime import cut
 
-MIN_EVIDENCE = 2
 MAX_PENDING = 200_000
-RUNS = "side string, run string, n bigint"
-REPAIRED = "tab string, fld string, row_id bigint, text string, restored string, whole boolean"
+#: Letters whose neighbours are counted: the alphabets of single-byte codecs lie below.
+LETTERS_TO = "Ԁ"
+_ANCHOR = re.compile("[A-Za-z0-9]")
+REPAIRED = "text string, restored string, whole boolean"
 
 
-def count_runs(values: DataFrame) -> DataFrame:
-    """(side, run, n): runs by neighbourhood, counted over distinct texts. Each task combines its counts before the shuffle."""
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _counts(rows: Callable[[pa.RecordBatch], Iterator[tuple]], names: list[str]):
+    """An Arrow function that adds up counts by string keys before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            keys = list(pending)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([pending[k] for k in keys], pa.int64())], names=["side", "run", "n"])
+            keys, n = list(pending), list(pending.values())
             pending.clear()
-            return out
+            return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(len(names))), pa.array(n, pa.int64())], names=[*names, "n"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                for left, r, right in runs_with_context(text):
-                    pending[f"{left}\x00{right}", r] += 1
+            for *key, n in rows(b):
+                pending[tuple(key)] += n
             if len(pending) > MAX_PENDING:
                 yield flush()
         yield flush()
 
-    # copies of a text have no vote
-    return cut(values.select("text").distinct().mapInArrow(run, RUNS).groupBy("side", "run").agg(F.sum("n").alias("n")), "runs")
-
-
-def clean_runs(runs: DataFrame) -> DataFrame:
-    """(side, clean, n_clean): the most frequent run without lost characters of each neighbourhood; of equal ones, the most frequent anywhere."""
-    whole = runs.filter(~F.contains("run", F.lit(LOST)))
-    anywhere = whole.groupBy("run").agg(F.sum("n").alias("total"))
-    return whole.join(anywhere, "run").groupBy("side").agg(F.max_by("run", F.struct("n", "total", "run")).alias("clean"), F.max("n").alias("n_clean"))
-
-
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many aligned (garbled, clean) runs each set of decodings explains."""
-    found: Counter = Counter()
-    for b in batches:
-        for garbled, clean in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ways = [str(k) for k, (wrong, right) in enumerate(TRANSFORMATIONS) if undo_run(garbled, wrong, right) == clean]
-            if ways:
-                found[",".join(ways)] += 1
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["ways", "n"])
-
-
-def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each run's other readings, with the decodings that give them."""
-    for b in batches:
-        rows = []
-        for r, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if len(r) < 2 or LOST in r:
-                continue
-            others: dict[str, list[str]] = {}
-            for k, (wrong, right) in enumerate(TRANSFORMATIONS):
-                other = undo_run(r, wrong, right)
-                if other is not None and other != r and RUN.fullmatch(other):
-                    others.setdefault(other, []).append(str(k))
-            rows += [(r, n, other, ",".join(ways)) for other, ways in others.items()]
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["misread", "n", "run", "ways"])
-
-
-def choose(evidence: dict[tuple[int, ...], int]) -> list[tuple[str, str]]:
-    """Decodings in order of the runs that they alone or first explain; one that adds fewer than MIN_EVIDENCE is not learned."""
-    chosen, left = [], dict(evidence)
-    while left:
-        score: Counter = Counter()
-        for ways, n in left.items():
-            for k in ways:
-                score[k] += n
-        best = min(score, key=lambda k: (-score[k], k))
-        if score[best] < MIN_EVIDENCE:
-            break
-        chosen.append(TRANSFORMATIONS[best])
-        left = {ways: n for ways, n in left.items() if best not in ways}
-    return chosen
-
-
-def learn(runs: DataFrame, clean: DataFrame) -> Repairer:
-    """Decodings with at least MIN_EVIDENCE aligned or read runs, and the corpus's counts of characters and letter pairs."""
-    twins = runs.join(clean, "side").filter((F.col("run") != F.col("clean")) & (F.col("n") <= F.col("n_clean")) & (F.length("run") > 1))
-    aligned = twins.select("run", "clean").distinct().mapInArrow(_align, "ways string, n bigint")
-    words = cut(runs.groupBy("run").agg(F.sum("n").alias("n")), "run-words")
-    read = cut(words.mapInArrow(_readings, "misread string, n bigint, run string, ways string").join(words.withColumnRenamed("n", "n_clean"), "run").filter("n < n_clean"), "readings")
-    evidence = aligned.unionByName(read.groupBy("ways").agg(F.count(F.lit(1)).alias("n"))).groupBy("ways").agg(F.sum("n").alias("n"))
-    learned = choose({tuple(map(int, ways.split(","))): n for ways, n in evidence.collect()})
+    return run
 
-    # a run with a more frequent reading has no vote on which letters stand side by side
-    used = F.array(*(F.lit(str(TRANSFORMATIONS.index(way))) for way in learned)).cast("array<string>")
-    misread = read.filter(F.arrays_overlap(F.split("ways", ","), used)).select(F.col("misread").alias("run")).distinct().withColumn("votes", F.lit(False))
-    voters = words.join(misread, "run", "left").select("run", "n", F.coalesce("votes", F.lit(True)).alias("votes"))
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for b in batches:
-            for r, n, votes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for i, c in enumerate(r):
-                    found[c] += n
-                    if votes and i and c.isalpha() and c < "Ԁ":
-                        found[r[i - 1] + c] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "n"])
-
-    counts = voters.mapInArrow(grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    known = {g: n for g, n in zip(counts["gram"], counts["n"]) if len(g) == 1 and g != LOST}
-    pairs = {g: n for g, n in zip(counts["gram"], counts["n"]) if len(g) == 2}
-    return Repairer(learned, known, pairs)
+def distinct_texts(values: DataFrame) -> DataFrame:
+    """(d, text, n): the distinct texts that can be garbled at all, with their digest and number of rows."""
+    return cut(non_ascii(values).groupBy("text").agg(F.count(F.lit(1)).alias("n")).select(F.md5("text").alias("d"), "text", "n"), "distinct-texts")
 
 
 def non_ascii(values: DataFrame) -> DataFrame:
-    """The values that can be garbled at all."""
     return values.filter(F.col("text").rlike(r"[^\x00-\x7f]"))
 
 
+def count_runs(texts: DataFrame) -> DataFrame:
+    """(side, run, n): runs by their place in the stripped text, counted over distinct texts; side is null where nothing is left of the text."""
+
+    def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+        for text in b.column(0).to_pylist():
+            stripped, runs = stripped_runs(text)
+            side = _digest(stripped) if _ANCHOR.search(stripped) else None
+            for place, run in runs:
+                yield side and f"{side}:{place}", run, 1
+
+    return cut(texts.select("text").mapInArrow(_counts(rows, ["side", "run"]), "side string, run string, n bigint").groupBy("side", "run").agg(F.sum("n").alias("n")), "runs")
+
+
+def near_twins(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """(run, clean, n, n_clean): different runs at one place of near-twins; clean is the one of them that most texts of the corpus have."""
+    sided = runs.filter(F.col("side").isNotNull())
+    several = sided.groupBy("side").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("side")
+    met = salted_join(sided.join(several, "side", "left_semi").select("side", "run"), words, heavy_keys(words, "run"), "run", ["side"])
+    whole = met.filter(~F.contains("run", F.lit(LOST)))
+    best = whole.groupBy("side").agg(F.max(F.struct("n", "run")).alias("best")).select("side", F.col("best.run").alias("clean"), F.col("best.n").alias("n_clean"))
+    return cut(met.join(best, "side").filter(F.col("run") != F.col("clean")).select("run", "clean", "n", "n_clean").distinct(), "near-twins")
+
+
+def _collect(df: DataFrame) -> dict[tuple[str, str], int]:
+    return {(a, b): n for a, b, n in df.collect()}
+
+
+def learn(runs: DataFrame) -> Repairer:
+    """Tables inferred from near-twins, and the corpus's counts of characters and letter pairs."""
+    words = cut(runs.groupBy("run").agg(F.sum("n").alias("n")), "run-words")
+    twins = near_twins(runs, words)
+    schema, pair = "a string, b string, n bigint", ["a", "b"]
+
+    def utf8(b: pa.RecordBatch) -> Iterator[tuple]:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for seq, char in align_utf8(x, y) or align_utf8(y, x):
+                yield seq, char, 1
+
+    multi = infer_utf8(_collect(twins.select("run", "clean").mapInArrow(_counts(utf8, pair), schema).groupBy("a", "b").agg(F.sum("n"))))
+    reader = Repairer(multi, [], {}, {})
+
+    def one_to_one(b: pa.RecordBatch) -> Iterator[tuple]:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if not reader.undo_utf8(x) and not reader.undo_utf8(y):
+                for shown, meant in align_single(x, y):
+                    yield shown, meant, 1
+
+    rarer = twins.filter(F.col("n") < F.col("n_clean")).select("run", "clean")
+    single = infer_single(_collect(rarer.mapInArrow(_counts(one_to_one, pair), schema).groupBy("a", "b").agg(F.sum("n"))))
+    reader = Repairer(multi, single, {}, {})
+
+    def misread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(r, n, other) for r, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for other in reader.single_readings(r) if other != r]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))], names=["misread", "m", "run"])
+
+    # a run that a learned table reads as a more frequent one has no vote on which letters stand side by side
+    silent = words.mapInArrow(misread, "misread string, m bigint, run string").join(words, "run").filter("m < n").select(F.col("misread").alias("run")).distinct().withColumn("silent", F.lit("x"))
+    voters = words.join(silent, "run", "left").select("run", "n", "silent")
+
+    def grams(b: pa.RecordBatch) -> Iterator[tuple]:
+        for r, n, mute in zip(*(c.to_pylist() for c in b.columns)):
+            votes = not mute and not reader.undo_utf8(r)
+            for i, c in enumerate(r):
+                yield c, n
+                if votes and i and c.isalpha() and c < LETTERS_TO and r[i - 1] < LETTERS_TO:
+                    yield r[i - 1] + c, n
+
+    counts = voters.mapInArrow(_counts(grams, ["gram"]), "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    known = {g: n for g, n in zip(counts["gram"], counts["n"]) if len(g) == 1 and g != LOST}
+    return Repairer(multi, single, known, {g: n for g, n in zip(counts["gram"], counts["n"]) if len(g) == 2})
+
+
 def repair(values: DataFrame) -> DataFrame:
     """(tab, fld, row_id, text, restored, whole) of every garbled value of ``values`` (tab, fld, row_id, text).
 
     whole is false where a part could not be recovered.
     """
-    values = non_ascii(values.select("tab", "fld", "row_id", "text"))
-    runs = count_runs(values)
-    clean = cut(clean_runs(runs), "clean-runs")
-    shared = values.sparkSession.sparkContext.broadcast(learn(runs, clean))
+    texts = distinct_texts(values)
+    shared = values.sparkSession.sparkContext.broadcast(learn(count_runs(texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer, cache = shared.value, {}
         for b in batches:
-            keep, restored, whole = [], [], []
-            for i, text in enumerate(b.column(3).to_pylist()):
-                if (done := cache.get(text)) is None:
-                    if len(cache) > 20_000:
-                        cache.clear()
-                    done = cache[text] = repairer.repair(text)
-                if done[1]:
-                    keep.append(i)
-                    restored.append(done[0])
-                    whole.append(done[2])
-            rows = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(restored, pa.string()), pa.array(whole, pa.bool_())], names=["tab", "fld", "row_id", "text", "restored", "whole"])
-
-    def readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([not shared.value.repair(r)[1] for r in b.column(1).to_pylist()], pa.bool_()))
+            done = [(text, restored, whole) for text in b.column(0).to_pylist() for restored, garbled, whole in [shared.value.repair(text)] if garbled]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], k) for i, k in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["text", "restored", "whole"])
 
-    return _restore_lost(cut(values.mapInArrow(run, REPAIRED), "repaired"), clean_runs(runs.mapInArrow(readable, RUNS)))
+    repaired = _restore_lost(cut(texts.select("text").mapInArrow(run, REPAIRED), "repaired"), texts, shared)
+    rows = non_ascii(values).select("tab", "fld", "row_id", F.md5("text").alias("d"))
+    return salted_join(rows, repaired.withColumn("d", F.md5("text")), heavy_keys(texts.select("d", "n"), "d"), "d", ["tab", "fld", "row_id"]).select(
+        "tab", "fld", "row_id", "text", "restored", "whole"
+    )
 
 
-def _restore_lost(repaired: DataFrame, clean: DataFrame) -> DataFrame:
-    """Fill what is lost from the clean run in the same neighbourhood, where there is one that fits what is left."""
+def _sides(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(number of the run, level, side, run): whole stripped text first, then the word."""
+    stripped, runs = stripped_runs(text)
+    if _ANCHOR.search(stripped):
+        for k, (place, run) in enumerate(runs):
+            yield k, 0, f"{_digest(stripped)}:{place}", run
+    for side, run, k in word_sides(text):
+        if _ANCHOR.search(side.rpartition("\x00")[0]):
+            yield k, 1, side, run
 
-    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(text, k, r, f"{left}\x00{right}") for text in set(b.column(0).to_pylist()) for k, (left, r, right) in enumerate(runs_with_context(text)) if LOST in r]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["restored", "k", "gap", "side"])
 
+def _restore_lost(repaired: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """Fill what is lost from the most frequent readable run at the same place of near-twins, else of the same words, where it fits what is left."""
     lost = repaired.filter(~F.col("whole"))
-    found = lost.select("restored").distinct().mapInArrow(gaps, "restored string, k int, gap string, side string").join(clean, "side", "left")
-    fits = F.col("clean").isNotNull() & F.rlike("clean", F.concat(F.lit("^"), F.regexp_replace("gap", f"{LOST}+", ".{1,3}"), F.lit("$")))
-    fills = found.groupBy("restored").agg(F.array_sort(F.collect_list(F.struct("k", F.when(fits, F.col("clean")).alias("clean")))).alias("fills"))
+    schema = "restored string, k int, level int, gap string, side string"
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(text, k, level, run, side) for text in set(b.column(0).to_pylist()) for k, level, side, run in _sides(text) if LOST in run]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in schema.split(", ")])
+
+    def readable(b: pa.RecordBatch) -> Iterator[tuple]:
+        for text in b.column(0).to_pylist():
+            for _, _, side, run in _sides(text):
+                if LOST not in run and not shared.value.repair(run)[1]:
+                    yield side, run, 1
+
+    asked = cut(lost.select("restored").distinct().mapInArrow(gaps, schema), "gaps")
+    there = texts.select("text").mapInArrow(_counts(readable, ["side", "run"]), "side string, run string, n bigint").join(asked.select("side").distinct(), "side", "left_semi")
+    counted = there.groupBy("side", "run").agg(F.sum("n").alias("n")).groupBy("side").agg(F.max_by("run", F.struct("n", "run")).alias("clean"))
+    fits = F.rlike("clean", F.concat(F.lit("^"), F.regexp_replace("gap", f"{LOST}+", ".{1,3}"), F.lit("$")))
+    found = asked.join(counted, "side").filter(fits).groupBy("restored", "k").agg(F.min_by("clean", "level").alias("clean"))
+    fills = found.groupBy("restored").agg(F.collect_list(F.struct("k", "clean")).alias("fills"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, whole = [], []
+            out = []
             for text, fills_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by = {f["k"]: f["clean"] for f in fills_}
-                runs, pieces, at = list(RUN.finditer(text)), [], 0
-                for k, m in enumerate(runs):
-                    pieces += [text[at : m.start()], by.get(k) or m[0]]
-                    at = m.end()
+                by, pieces, at = {f["k"]: f["clean"] for f in fills_}, [], 0
+                for k, (_, run) in enumerate(stripped_runs(text)[1]):
+                    start = text.index(run, at)
+                    pieces += [text[at:start], by.get(k) or run]
+                    at = start + len(run)
                 out.append("".join(pieces) + text[at:])
-                whole.append(LOST not in out[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(whole, pa.bool_())], names=["restored", "filled", "filled_whole"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array([LOST not in x for x in out], pa.bool_())], names=["restored", "filled", "filled_whole"])
 
     filled = fills.mapInArrow(fill, "restored string, filled string, filled_whole boolean")
     return repaired.join(filled, "restored", "left").select(
-        "tab", "fld", "row_id", "text", F.coalesce("filled", "restored").alias("restored"), F.when(F.col("whole"), True).otherwise(F.coalesce("filled_whole", F.lit(False))).alias("whole")
+        "text", F.coalesce("filled", "restored").alias("restored"), F.when(F.col("whole"), True).otherwise(F.coalesce("filled_whole", F.lit(False))).alias("whole")
     )

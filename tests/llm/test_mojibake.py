@@ -47,6 +47,22 @@ def test_lost_characters(spark):
     assert out == {-1: ("Café notation in Place1 texts", True), -2: ("qx�qx", False)}
 
 
+def test_decodings_of_no_codec(spark):
+    """Tables that no codec has are inferred from aligned characters: UTF-8 read by one, and letters taken for others."""
+    strange = lambda text: "".join(c if c < "\x80" else "".join(chr(0x16A0 + (b * 37) % 0x80) for b in c.encode()) for c in text)
+    shifted = lambda text: "".join(c if c < "\x80" else chr(0x10D0 + (ord(c) - 0x430) * 5 % 32) if "а" <= c <= "я" else c for c in text)
+    accents = ["Café of {}", "naïve {} müde", "señor {} São", "Ångström {}", "{} œuvre à où", "Łódź {}", "€ {} – £"]
+    letters = ["вопрос о знаках {}", "порядок букв {}", "список шрифтов {}", "новые буквы {}"]
+    places = [f"Place{k}" for k in range(40)]
+    clean = [x.format(p) for x in accents + letters for p in places]
+    bad = [(strange(x.format(p)), x.format(p)) for x in accents for p in places[:6]] + [(shifted(x.format(p)), x.format(p)) for x in letters for p in places[:6]]
+    # one of them has no near-twin
+    bad.append((strange("Café señor nowhere else"), "Café señor nowhere else"))
+    rows = [("t", "f", k, x, None, None) for k, x in enumerate(clean)] + [("t", "f", 10_000 + k, g, None, None) for k, (g, _) in enumerate(bad)]
+    out = {r["row_id"]: r["restored"] for r in mojibake.repair(spark.createDataFrame(rows, VALUES)).collect()}
+    assert out == {10_000 + k: t for k, (_, t) in enumerate(bad)}
+
+
 def test_empty(spark):
     assert mojibake.repair(spark.createDataFrame([], VALUES)).count() == 0
 
