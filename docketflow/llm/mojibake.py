@@ -2,10 +2,10 @@
 
 Distinct texts with non-ASCII characters are joined on what is left of them
 without these: near-twins are equal there and differ only in the runs of
-non-ASCII characters at the same places. Of the runs at one place, the most
-frequent in the corpus is taken as clean, and every other one is aligned with it
-character by character: either as the bytes of its UTF-8 form, which tells the
-byte that each character shown stands for, or one to one. From counts of such
+non-ASCII characters at the same places. Of the runs of one length at one place,
+the most frequent in the corpus is taken as clean, and every other one is aligned
+with it character by character: either as the bytes of its UTF-8 form, which
+tells the byte that each character shown stands for, or one to one. From counts of such
 aligned characters, tables are inferred (``charsets.infer_*``), with no codec as
 a hypothesis about a text: where an inferred table agrees with a codec of the
 platform, that completes it with the characters not met. Learned tables are
@@ -96,13 +96,21 @@ def count_runs(texts: DataFrame) -> DataFrame:
 
 
 def near_twins(runs: DataFrame, words: DataFrame) -> DataFrame:
-    """(run, clean, n, n_clean): different runs at one place of near-twins; clean is the one of them that most texts of the corpus have."""
+    """(run, clean, how, n, n_clean): different runs at one place of near-twins that can be one text read in two ways.
+
+    how is ``bytes`` where clean has as many UTF-8 bytes as the run has
+    characters, ``chars`` where it has as many characters. Of several that have,
+    clean is the one of most texts in the corpus, so each run has one of either kind.
+    """
     sided = runs.filter(F.col("side").isNotNull())
     several = sided.groupBy("side").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("side")
     met = salted_join(sided.join(several, "side", "left_semi").select("side", "run"), words, heavy_keys(words, "run"), "run", ["side"])
-    whole = met.filter(~F.contains("run", F.lit(LOST)))
-    best = whole.groupBy("side").agg(F.max(F.struct("n", "run")).alias("best")).select("side", F.col("best.run").alias("clean"), F.col("best.n").alias("n_clean"))
-    return cut(met.join(best, "side").filter(F.col("run") != F.col("clean")).select("run", "clean", "n", "n_clean").distinct(), "near-twins")
+    sizes = F.inline(F.array(F.struct(F.lit("bytes").alias("how"), F.octet_length("run").alias("size")), F.struct(F.lit("chars").alias("how"), F.length("run").alias("size"))))
+    whole = met.filter(~F.contains("run", F.lit(LOST))).select("side", "run", "n", sizes)
+    best = whole.groupBy("side", "how", "size").agg(F.max(F.struct("n", "run")).alias("best")).select("side", "how", "size", F.col("best.run").alias("clean"), F.col("best.n").alias("n_clean"))
+    ways = met.select("side", "run", "n", F.length("run").alias("size"), F.explode(F.array(F.lit("bytes"), F.lit("chars"))).alias("how"))
+    joined = ways.join(best, ["side", "how", "size"]).filter(F.col("run") != F.col("clean"))
+    return cut(joined.select("run", "clean", "how", "n", "n_clean").distinct(), "near-twins")
 
 
 def _collect(df: DataFrame) -> dict[tuple[str, str], int]:
@@ -117,10 +125,10 @@ def learn(runs: DataFrame) -> Repairer:
 
     def utf8(b: pa.RecordBatch) -> Iterator[tuple]:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for seq, char in align_utf8(x, y) or align_utf8(y, x):
+            for seq, char in align_utf8(x, y):
                 yield seq, char, 1
 
-    multi = infer_utf8(_collect(twins.select("run", "clean").mapInArrow(_counts(utf8, pair), schema).groupBy("a", "b").agg(F.sum("n"))))
+    multi = infer_utf8(_collect(twins.filter("how = 'bytes'").select("run", "clean").mapInArrow(_counts(utf8, pair), schema).groupBy("a", "b").agg(F.sum("n"))))
     reader = Repairer(multi, [], {}, {})
 
     def one_to_one(b: pa.RecordBatch) -> Iterator[tuple]:
@@ -129,7 +137,7 @@ def learn(runs: DataFrame) -> Repairer:
                 for shown, meant in align_single(x, y):
                     yield shown, meant, 1
 
-    rarer = twins.filter(F.col("n") < F.col("n_clean")).select("run", "clean")
+    rarer = twins.filter((F.col("how") == "chars") & (F.col("n") < F.col("n_clean"))).select("run", "clean")
     single = infer_single(_collect(rarer.mapInArrow(_counts(one_to_one, pair), schema).groupBy("a", "b").agg(F.sum("n"))))
     reader = Repairer(multi, single, {}, {})
 
