@@ -1,17 +1,19 @@
 """Mixing sources to target weights (problem 9).
 
 Soft-membership mixing: a classifier fitted on labelled documents gives each
-document without a usable label its probabilities of the sources; a labelled
-document belongs to its source. Distributed projected-gradient least squares
+document its probabilities of the sources. A recorded source is evidence beside
+the text: ``trust`` is the weight of it, the classifier's posterior has the rest.
+With the default of 1 a labelled document belongs to its source and posteriors
+serve the others, as shares are asked for by recorded source. Distributed projected-gradient least squares
 then fits a rate per document, between zero and the greatest number of uses, so
 that the expected tokens per source meet the targets. The steps are scaled by
 the tokens of each document and source, so that documents of equal membership
 keep equal rates whatever their length. Rates become whole numbers of uses by
 carrying what is owed in tokens from the longest document to the shortest.
 
-Only the classifier is fitted on a sample, of at most about ``train_docs``
-labelled documents chosen by a hash of their ids. Every document is counted,
-scored and drawn from.
+Only the classifier is fitted on a sample: the ``train_docs`` labelled documents
+whose ids have the least hashes. Every document is counted, scored and drawn
+from.
 
 Cases: null and empty texts have no tokens and are never drawn; a null source,
 or one without a target, is no label; a source of the targets without documents
@@ -85,10 +87,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit_sources(documents: DataFrame, sources: list[str], vocabulary: str = VOCABULARY, train_docs: int = TRAIN_DOCS) -> SourceModel:
-    """Fit on labelled documents; a share of them by id hash, so that about ``train_docs`` reach the driver."""
+    """Fit on the ``train_docs`` labelled documents with the least id hashes."""
     labelled = documents.filter(F.col("source").isin(sources) & F.col("text").isNotNull())
-    share = min(1.0, train_docs / max(1, labelled.count()))
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("source", "text")
+    n_labelled = labelled.count()
+    hashed = F.xxhash64("doc_id")
+    # twice the share wanted passes before the sort; a hash of 64 bits is uniform enough for that at any size
+    below = F.lit(2.0 * train_docs / max(1, n_labelled) * 2.0**64 - 2.0**63)
+    sample = labelled.filter(hashed.cast("double") <= below).orderBy(hashed, "doc_id").limit(train_docs).select("source", "text")
     index = {s: k for k, s in enumerate(sources)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,14 +101,16 @@ def fit_sources(documents: DataFrame, sources: list[str], vocabulary: str = VOCA
             rows = [(index[s.as_py()], _hashed(token_ids(t.as_py(), vocabulary)).astype(np.int16).tolist()) for s, t in zip(b.column(0), b.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int16()))], names=["label", "x"])
 
-    rows = sample.mapInArrow(run, "label int, x array<smallint>").limit(2 * train_docs).toArrow()
+    rows = sample.mapInArrow(run, "label int, x array<smallint>").toArrow()
     labels = rows.column("label").to_numpy().astype(np.int64)
+    if n_labelled and not len(labels):
+        raise RuntimeError(f"no training document among {n_labelled} labelled ones")
     model = SourceModel(len(sources))
     return model.fit(labels, [np.asarray(x, np.int64) for x in rows.column("x").to_pylist()]) if len(labels) else model
 
 
-def memberships(documents: DataFrame, sources: list[str], model: SourceModel, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, n_tokens, label, member): label is the index of a source with a target; member its replacement elsewhere."""
+def memberships(documents: DataFrame, sources: list[str], model: SourceModel, vocabulary: str = VOCABULARY, trust: float = 1.0) -> DataFrame:
+    """(doc_id, source, n_tokens, label, member): probabilities of the sources, or the index of the one that it belongs to."""
     index = {s: k for k, s in enumerate(sources)}
     shared = documents.sparkSession.sparkContext.broadcast((model.weights, model.prior, model.scale))
 
@@ -116,8 +123,13 @@ def memberships(documents: DataFrame, sources: list[str], model: SourceModel, vo
                 ids = token_ids(text.as_py(), vocabulary) if text.is_valid else []
                 label = index.get(source)
                 n_tokens.append(len(ids))
-                labels.append(label)
-                members.append(None if label is not None or not ids else own.posterior(_hashed(ids)).tolist())
+                sure = label is not None and trust >= 1
+                labels.append(label if sure else None)
+                p = None if sure or not ids else own.posterior(_hashed(ids))
+                if p is not None and label is not None:
+                    p = (1 - trust) * p
+                    p[label] += trust
+                members.append(None if p is None else p.tolist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n_tokens, pa.int32()), pa.array(labels, pa.int32()), pa.array(members, pa.list_(pa.float32()))],
                 names=["doc_id", "source", "n_tokens", "label", "member"],
@@ -280,17 +292,22 @@ def draw(members: DataFrame, sources: list[str], most: np.ndarray, start: np.nda
             )
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "n_tokens", "doc_id"], ascending=[True, False, True], ignore_index=True)
+        pdf = pdf.sort_values(["s", "n_tokens", "rate", "doc_id"], ascending=[True, False, True, True], ignore_index=True)
         base = np.floor(pdf["rate"].to_numpy() + 1e-9)
-        draws, owed, last = base.astype("int32"), 0.0, None
-        # longest first, one use more wherever that brings the tokens drawn so far nearer to those expected
-        for i, (s, n, extra) in enumerate(zip(pdf["s"], pdf["n_tokens"], pdf["rate"].to_numpy() - base)):
-            owed, last = (0.0 if s != last else owed) + extra * n, s
-            if extra > 1e-9 and owed >= n / 2:
-                draws[i] += 1
-                owed -= n
+        extra, n, s = pdf["rate"].to_numpy() - base, pdf["n_tokens"].to_numpy(), pdf["s"].to_numpy()
+        draws = base.astype("int32")
+        # runs of documents alike in source, length and rate; longest first, as many of each get one use more as bring
+        # the tokens drawn so far nearest to those expected
+        starts = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (n[1:] != n[:-1]) | (extra[1:] != extra[:-1])]) if len(pdf) else np.array([], int)
+        owed, last = 0.0, None
+        for i, end in zip(starts, np.r_[starts[1:], len(pdf)]):
+            owed, last, count = (0.0 if s[i] != last else owed) + extra[i] * n[i] * (end - i), s[i], end - i
+            if extra[i] > 1e-9:
+                more = int(min(count, max(0.0, np.floor(owed / n[i] + 0.5))))
+                draws[i : i + more] += 1
+                owed -= more * n[i]
         pdf["draws"] = draws
-        pdf["drawn_as"] = [sources[s] for s in pdf["s"]]
+        pdf["drawn_as"] = [sources[k] for k in s]
         return pdf.loc[pdf["draws"] > 0, ["doc_id", "source", "drawn_as", "n_tokens", "draws"]]
 
     rated = members.mapInArrow(rate, "doc_id bigint, source string, n_tokens int, s int, rate double")
@@ -299,7 +316,7 @@ def draw(members: DataFrame, sources: list[str], most: np.ndarray, start: np.nda
     return spread.groupBy("bucket").applyInPandas(whole, "doc_id bigint, source string, drawn_as string, n_tokens int, draws int")
 
 
-def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, train_docs: int = TRAIN_DOCS, trust: float = 1.0) -> DataFrame:
     """Draws that meet ``targets`` (source, target_share, max_repeats), a short fixed table."""
     rows = sorted(targets.filter(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").limit(MAX_SOURCES + 1).collect())
     if len(rows) > MAX_SOURCES:
@@ -308,15 +325,24 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
         return documents.sparkSession.createDataFrame([], "doc_id bigint, source string, drawn_as string, n_tokens int, draws int")
     sources = [r[0] for r in rows]
     shares, most = np.array([r[1] or 0.0 for r in rows], float), np.array([r[2] or 0 for r in rows], float)
-    members = memberships(documents, sources, fit_sources(documents, sources, vocabulary, train_docs), vocabulary)
+    members = memberships(documents, sources, fit_sources(documents, sources, vocabulary, train_docs), vocabulary, trust)
     return draw(members, sources, most, *fit_rates(members, shares / max(shares.sum(), 1e-12), most))
 
 
 def shares_report(drawn: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, reached_share, tokens, documents, most_used) per source of the targets."""
-    per = cut(drawn, "draws").groupBy(F.col("drawn_as").alias("source")).agg(
-        F.sum(F.col("n_tokens").cast("long") * F.col("draws")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("draws").alias("most_used")
+    """(source, target_share, reached_share, member_share, tokens, documents, most_used) per source of the targets.
+
+    reached_share counts documents by their recorded source, member_share by the
+    most probable one. A last row with a null source holds the documents drawn
+    whose recorded source has no target, if there are any.
+    """
+    draws = cut(drawn, "draws").withColumn("all_tokens", F.col("n_tokens").cast("long") * F.col("draws"))
+    recorded = draws.join(F.broadcast(targets.select(F.col("source").alias("known")).distinct()), F.col("source") == F.col("known"), "left").groupBy(F.col("known").alias("source")).agg(
+        F.sum("all_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("draws").alias("most_used")
     )
-    joined = targets.select("source", "target_share").join(per, "source", "left").na.fill(0, ["tokens", "documents", "most_used"])
-    total = float(per.agg(F.sum("tokens")).first()[0] or 1)
-    return joined.select("source", "target_share", (F.col("tokens") / F.lit(total)).alias("reached_share"), "tokens", "documents", "most_used")
+    member = draws.groupBy(F.col("drawn_as").alias("source")).agg(F.sum("all_tokens").alias("as_member"))
+    total = float(recorded.agg(F.sum("tokens")).first()[0] or 1)
+    listed = targets.select("source", "target_share").join(recorded, "source", "left").join(member, "source", "left")
+    others = recorded.filter(F.col("source").isNull()).select("source", F.lit(0.0).alias("target_share"), "tokens", "documents", "most_used", F.lit(0).cast("long").alias("as_member"))
+    each = listed.unionByName(others).na.fill(0, ["tokens", "documents", "most_used", "as_member"])
+    return each.select("source", "target_share", (F.col("tokens") / F.lit(total)).alias("reached_share"), (F.col("as_member") / F.lit(total)).alias("member_share"), "tokens", "documents", "most_used")
