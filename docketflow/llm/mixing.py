@@ -330,19 +330,18 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
 
 
 def shares_report(drawn: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, reached_share, member_share, tokens, documents, most_used) per source of the targets.
+    """(source, target_share, reached_share, recorded_share, tokens, documents, most_used) per source of the targets.
 
-    reached_share counts documents by their recorded source, member_share by the
-    most probable one. A last row with a null source holds the documents drawn
-    whose recorded source has no target, if there are any.
+    A document counts for its most probable source, in recorded_share for the one
+    it was recorded with. A row with a null source has the recorded share of
+    documents whose own source has no target, if any are drawn.
     """
-    draws = cut(drawn, "draws").withColumn("all_tokens", F.col("n_tokens").cast("long") * F.col("draws"))
-    recorded = draws.join(F.broadcast(targets.select(F.col("source").alias("known")).distinct()), F.col("source") == F.col("known"), "left").groupBy(F.col("known").alias("source")).agg(
-        F.sum("all_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("draws").alias("most_used")
-    )
-    member = draws.groupBy(F.col("drawn_as").alias("source")).agg(F.sum("all_tokens").alias("as_member"))
-    total = float(recorded.agg(F.sum("tokens")).first()[0] or 1)
-    listed = targets.select("source", "target_share").join(recorded, "source", "left").join(member, "source", "left")
-    others = recorded.filter(F.col("source").isNull()).select("source", F.lit(0.0).alias("target_share"), "tokens", "documents", "most_used", F.lit(0).cast("long").alias("as_member"))
-    each = listed.unionByName(others).na.fill(0, ["tokens", "documents", "most_used", "as_member"])
-    return each.select("source", "target_share", (F.col("tokens") / F.lit(total)).alias("reached_share"), (F.col("as_member") / F.lit(total)).alias("member_share"), "tokens", "documents", "most_used")
+    draws = cut(drawn.withColumn("all_tokens", F.col("n_tokens").cast("long") * F.col("draws")), "draws")
+    per = draws.groupBy(F.col("drawn_as").alias("source")).agg(F.sum("all_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("draws").alias("most_used"))
+    known = F.broadcast(targets.select(F.col("source").alias("known")).distinct())
+    recorded = draws.join(known, F.col("source") == F.col("known"), "left").groupBy(F.col("known").alias("source")).agg(F.sum("all_tokens").alias("recorded"))
+    others = recorded.filter(F.col("source").isNull()).select("source", F.lit(0.0).alias("target_share"), F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("documents"), F.lit(0).alias("most_used"), "recorded")
+    joined = targets.select("source", "target_share").join(per, "source", "left").join(recorded, "source", "left").unionByName(others).na.fill(0, ["tokens", "documents", "most_used", "recorded"])
+    total = float(per.agg(F.sum("tokens")).first()[0] or 1)
+    share = lambda c: F.col(c) / F.lit(total)
+    return joined.select("source", "target_share", share("tokens").alias("reached_share"), share("recorded").alias("recorded_share"), "tokens", "documents", "most_used")

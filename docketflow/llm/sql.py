@@ -1,5 +1,10 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 
+from docketflow.llm.confusables import digest_sql
+
+# DuckDB has the same functions as the operator's embedded query; the letters of the public data don't occur in the tables
+_FORMS = f"WITH f AS ({digest_sql({}, 'documents')})"
+
 _PAIRS = """
 WITH cells AS (
   SELECT doc_num, unnest(people) AS item FROM utc_doc_reg_df
@@ -27,4 +32,6 @@ done AS (
 SQL = {
     "p1_found": _PAIRS + "SELECT item_a, item_b FROM done WHERE n_ab * n_records >= 5 * n_a * n_b",
     "p1_pairs": _PAIRS + "SELECT * FROM done",
+    "p10_found": _FORMS + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.raw <> b.raw AND a.doc_id < b.doc_id",
+    "p10_forms": _FORMS + " SELECT doc_id, form AS form_class, count(DISTINCT raw) OVER (PARTITION BY form) AS n_spellings FROM f",
 }

@@ -9,7 +9,8 @@ SAME = [
     ["👩‍💻 x", "👩‍💻​ x", "👩‍💻 х"],
     ["a; b", "a; b"],
 ]
-APART = ["x² 2", "x2 2", "ﬁn", "fin", "👩💻 x", "resume", "Resume", "résume", "½", "1/2", "a – b", "a — b", "a - b", "ℵ", "א"]
+APART = ["x² 2", "x2 2", "ﬁn", "fin", "👩💻 x", "resume", "Resume", "résume", "½", "1/2", "a – b", "a — b", "a - b", "ℵ", "א", "\u0261o", "go", "1\ufe0f\u20e3", "1\u20e3"]
+APART += ["\U0001f3f4" + "".join(chr(0xE0000 + ord(c)) for c in code) + "\U000e007f" for code in ("gbeng", "gbsct")]
 
 
 def _pairs(spark, texts):
