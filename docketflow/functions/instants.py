@@ -14,9 +14,11 @@ from zoneinfo import ZoneInfo
 #: Zone abbreviations and their offsets in minutes.
 ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "UT": 0, "Z": 0, "WET": 0, "WEST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120, "EET": 120, "EEST": 180, "MSK": 180,
-    "IST": 330, "JST": 540, "KST": 540, "AWST": 480, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780,
+    "JST": 540, "KST": 540, "AWST": 480, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780,
     "HST": -600, "AKST": -540, "AKDT": -480, "PST": -480, "PDT": -420, "MST": -420, "MDT": -360, "CST": -360, "CDT": -300, "EST": -300, "EDT": -240,
 }
+#: Abbreviations of several zones; the feed's zone decides, if it has them.
+AMBIGUOUS = {"IST", "BST", "AST", "AMT", "GST", "SST", "WST", "ADT", "ECT"}
 #: English month names; three letters decide.
 MONTHS = {m: k for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 WEEKDAYS = {d: k for k, d in enumerate("mon tue wed thu fri sat sun".split())}
@@ -65,13 +67,18 @@ def local_micros(local: datetime, zone_name: str | None, whole_day: bool) -> int
     return _micros(local - _ZERO - first)
 
 
+def _named_micros(local: datetime, zone_name: str | None, abbreviation: str) -> int | None:
+    """Instant of a wall-clock time of which the feed's zone itself says by this abbreviation which one it is; null if it doesn't have it then."""
+    zone = _zone(zone_name) if zone_name else None
+    fits = {at.utcoffset() for k in (0, 1) if zone and (at := local.replace(tzinfo=zone, fold=k)).tzname() == abbreviation}
+    return _micros(local - _ZERO - fits.pop()) if len(fits) == 1 else None
+
+
 def parse_instant(text: str | None, zone_name: str | None, day_first: bool | None) -> int | None:
     """Microseconds since 1970-01-01T00:00:00Z of the one instant that ``text`` denotes, or null."""
     if text is None:
         return None
     text = text.strip()
-    if not 6 <= len(text) <= 80:
-        return None
     try:
         if text.isdecimal() and text.isascii() and len(text) in _EPOCH:
             return int(text) * _EPOCH[len(text)]
@@ -115,7 +122,10 @@ def _from_parts(g: dict, zone_name: str | None, day_first: bool | None) -> int |
     elif g.get("sign"):
         offset = (1 if g["sign"] == "+" else -1) * (int(g["zh"]) * 60 + int(g["zm"] or 0))
     elif g.get("abbr"):
-        offset = ABBREVIATIONS.get(g["abbr"].upper())
+        name = g["abbr"].upper()
+        if name in AMBIGUOUS:
+            return _named_micros(local, zone_name, name)
+        offset = ABBREVIATIONS.get(name)
         if offset is None:
             return None
     else:

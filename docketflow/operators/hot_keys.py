@@ -16,11 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketflow.operators.skew import heavy_threshold, lookup_split
+from docketflow.operators.skew import heavy_keys, salted_join
 from docketflow.runtime import cut
 
 BINS = 64
-HEAVY_SHARE = 0.001
 
 
 def _rank(q: float, n: Column) -> Column:
@@ -28,35 +27,39 @@ def _rank(q: float, n: Column) -> Column:
 
 
 def exact_quantiles(histogram: DataFrame, heavy: DataFrame, quantiles: dict[str, float], bins: int = BINS) -> DataFrame:
-    """(key, one column per quantile) of ``histogram`` (key, value, n), whose counts may be split over rows."""
+    """(key, total, one column per quantile) of ``histogram`` (key, value, n), whose counts may be split over rows.
+
+    total is the number of values among which ranks were resolved; ``heavy`` (key,
+    salts) are the keys of many distinct values.
+    """
     values = histogram.filter(F.abs("value") < F.lit(float("inf")))
     ends = values.groupBy("key").agg(F.sum("n").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("q"), _rank(q, F.col("total")).alias("rank")) for name, q in quantiles.items())))
-    state = cut(ends.select("key", "lo", "hi", wanted.alias("w")).select("key", "w.q", "w.rank", "lo", "hi"), "quantiles")
-    done = state.filter("lo = hi").select("key", "q", F.col("lo").alias("value"))
+    state = cut(ends.select("key", "total", "lo", "hi", wanted.alias("w")).select("key", "total", "w.q", "w.rank", "lo", "hi"), "quantiles")
+    done = state.filter("lo = hi").select("key", "total", "q", F.col("lo").alias("value"))
     while True:
         open_ = state.filter("lo < hi")
         if open_.isEmpty():
             break
         # one row per key, so that the lookup stays unique in it
-        asked = open_.groupBy("key").agg(F.collect_list(F.struct("q", "rank", "lo", "hi")).alias("asked"))
+        asked = open_.groupBy("key").agg(F.collect_list(F.struct("total", "q", "rank", "lo", "hi")).alias("asked"))
         inside = (
-            lookup_split(values, asked, heavy, "key")
+            salted_join(values, asked, heavy, "key", ["value"])
             .select("key", "value", "n", F.explode("asked").alias("a"))
             .select("key", "value", "n", "a.*")
             .filter(F.col("value").between(F.col("lo"), F.col("hi")))
             .withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins)))
         )
-        counted = inside.groupBy("key", "q", "rank", "bin").agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        counted = inside.groupBy("key", "total", "q", "rank", "bin").agg(F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         upto = F.sum("n").over(Window.partitionBy("key", "q").orderBy("bin"))  # at most `bins` rows
         state = cut(
             counted.withColumn("upto", upto)
             .filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-            .select("key", "q", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), "lo", "hi"),
+            .select("key", "total", "q", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), "lo", "hi"),
             "quantiles",
         )
-        done = done.unionByName(state.filter("lo = hi").select("key", "q", F.col("lo").alias("value")))
-    return done.groupBy("key").agg(*(F.max(F.when(F.col("q") == name, F.col("value"))).alias(name) for name in quantiles))
+        done = done.unionByName(state.filter("lo = hi").select("key", "total", "q", F.col("lo").alias("value")))
+    return done.groupBy("key", "total").agg(*(F.max(F.when(F.col("q") == name, F.col("value"))).alias(name) for name in quantiles))
 
 
 def key_profiles(
@@ -67,17 +70,19 @@ def key_profiles(
     base = rows.select(key.alias("key"), item.alias("item"), value.cast("double").alias("value")).filter(F.col("key").isNotNull())
     histogram = cut(base.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
     items = base.filter(F.col("item").isNotNull()).groupBy("key", "item").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count(F.lit(1)).alias("n_items"))
-    total = histogram.agg(F.sum("n")).first()[0] or 0
+    # sums of a key's values, and its rows without one; its other rows are those among which the ranks were resolved
+    has = F.coalesce(F.abs("value") < F.lit(float("inf")), F.lit(False))
     per_key = histogram.groupBy("key").agg(
-        F.sum("n").alias("n_rows"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean_value"),
-        F.count(F.lit(1)).alias("n_values"),
+        F.sum(F.when(~has, F.col("n")).otherwise(0)).alias("n_without"),
+        F.sum(F.when(has, F.col("value") * F.col("n"))).alias("sum_value"),
+        F.count(F.lit(1)).alias("n"),
     )
-    distinct = histogram.count()
-    heavy = cut(per_key.filter(F.col("n_values") >= heavy_threshold(distinct, HEAVY_SHARE)).select("key"), "value-heavy")
-    picked = exact_quantiles(histogram, heavy, quantiles)
-    return (
-        per_key.join(items, "key", "left")
-        .join(picked, "key", "left")
-        .select("key", "n_rows", F.coalesce("n_items", F.lit(0)).alias("n_items"), "mean_value", *quantiles, (F.col("n_rows") >= F.lit(heavy_from * total)).alias("heavy"))
+    picked = exact_quantiles(histogram, cut(heavy_keys(per_key.select("key", "n"), "key"), "value-heavy"), quantiles)
+    joined = cut(
+        per_key.join(picked, "key", "left").join(items, "key", "left").select(
+            "key", (F.col("n_without") + F.coalesce("total", F.lit(0))).alias("n_rows"), F.coalesce("n_items", F.lit(0)).alias("n_items"), (F.col("sum_value") / F.col("total")).alias("mean_value"), *quantiles
+        ),
+        "key-profiles",
     )
+    total = joined.agg(F.sum("n_rows")).first()[0] or 0
+    return joined.select("*", (F.col("n_rows") >= F.lit(heavy_from * total)).alias("heavy"))

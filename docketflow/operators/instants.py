@@ -3,8 +3,8 @@
 Raw strings are reduced to a dictionary of distinct (text, zone, day order)
 entries; each entry is parsed once, in Arrow batches, and the dictionary is
 persisted. A later run with the same dictionary path parses only texts it has
-not seen. The instants are joined back to the rows, with entries that hold much
-of the rows broadcast.
+not seen. The instants are joined back to the rows; rows of an entry that holds many
+are spread over many tasks.
 
 Cases: null, blank and unparsable texts have a null instant; an unknown feed
 gives no zone and no day order, so only texts that carry a zone have an instant;
@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketflow.functions.instants import parse_instant
-from docketflow.operators.skew import heavy_threshold, lookup_split
+from docketflow.operators.skew import heavy_keys, salted_join
 from docketflow.runtime import bounded_broadcast, cut, fresh_path
 
-HEAVY_SHARE = 0.001
 MAX_FEEDS = 10_000
 ENTRY = "text string, zone_name string, day_first boolean, utc_micros bigint"
 
@@ -49,7 +48,8 @@ def extend_dictionary(entries: DataFrame, path: str) -> DataFrame:
         same = [F.col(f"e.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("text", "zone_name", "day_first")]
         entries = entries.alias("e").join(known, same, "left_anti")
     entries.select("text", "zone_name", "day_first").mapInArrow(_parse, ENTRY).write.mode("append").parquet(path)
-    return spark.read.schema(ENTRY).parquet(path)
+    # two runs that extend one dictionary at the same time may both have added a text
+    return spark.read.schema(ENTRY).parquet(path).dropDuplicates(["text", "zone_name", "day_first"])
 
 
 def with_zone(rows: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -64,8 +64,7 @@ def normalise(rows: DataFrame, feeds: DataFrame, dictionary_path: str | None = N
     key = F.concat_ws("\u0001", F.coalesce("zone_name", F.lit("")), F.coalesce(F.col("day_first").cast("string"), F.lit("")), "text")
     zoned = with_zone(rows.select("tab", "row_id", "text", "feed"), feeds.dropDuplicates(["feed"])).select("tab", "row_id", *keys, key.alias("k"))
     counted = cut(zoned.filter(F.col("text").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "instant-entries")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    heavy = counted.filter(F.col("n") >= heavy_threshold(total, HEAVY_SHARE)).select(key.alias("k"))
+    heavy = cut(heavy_keys(counted.select(key.alias("k"), "n"), "k"), "instant-heavy")
     dictionary = extend_dictionary(counted, dictionary_path or fresh_path(rows.sparkSession, "instants"))
     lookup = dictionary.filter(F.col("utc_micros").isNotNull()).select(key.alias("k"), "utc_micros")
-    return lookup_split(zoned, lookup, heavy, "k", "left").select("tab", "row_id", "text", "utc_micros")
+    return salted_join(zoned, lookup, heavy, "k", ["tab", "row_id"], "left").select("tab", "row_id", "text", "utc_micros")

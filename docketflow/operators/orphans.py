@@ -1,9 +1,12 @@
 """References to records that do not exist (problem 2).
 
-References are pre-aggregated per key and period before any join. Keys that hold
-at least ``heavy_share`` of all references are checked against a broadcast of
-their own targets, the others by a shuffle join; both verdicts are united. Rows
-are fetched only for keys that can be orphans, again split by weight.
+References are read once into a table and pre-aggregated per key and period.
+Keys that hold more than an equal share of all references are checked against a
+broadcast of their own targets; the periods of all other keys go through shuffle
+joins: an anti-join with the records that exist leaves those of missing and
+withdrawn records, an equi-join with the times of the others those of late ones.
+The verdicts are united. Where rows are needed again, those of heavy keys are
+spread over many tasks.
 
 Cases: null or blank references and those without a number are none; a row that
 repeats a number counts once; a row without a time is never late; a target whose
@@ -17,11 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketflow.functions.docnum import doc_number, doc_numbers, doc_numbers_of_array
-from docketflow.operators.skew import heavy_threshold, lookup_split, month_of
+from docketflow.operators.skew import heavy_keys, month_of, salted_join
 from docketflow.runtime import cut
 
-HEAVY_SHARE = 0.001
-
 
 def references(df: DataFrame, tab: str, id_col: str, ref_col: str, ts_col: str) -> DataFrame:
     """(tab, row_id, ref, ts): one row per input row and distinct number in ``ref_col`` (string or array)."""
@@ -48,56 +49,58 @@ def targets(register: DataFrame, carryover: DataFrame, withdrawals: DataFrame) -
     )
 
 
-def _suspects(refs: DataFrame, known: DataFrame, heavy_share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pre-aggregated references, heavy keys, and the verdict of each key that has orphans."""
+def _judge(refs: DataFrame, known: DataFrame, heavy_share: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The references as a table, the heavy keys, and the periods (ref, tab, month, n, min_ts, max_ts, timed, kind, first_ts) that have orphans."""
+    refs = cut(refs, "references")
     periods = cut(
         refs.groupBy("ref", "tab", month_of(F.col("ts")).alias("month")).agg(
             F.count(F.lit(1)).alias("n"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count("ts").alias("timed")
         ),
         "reference-periods",
     )
-    total = periods.agg(F.sum("n")).first()[0] or 0
-    keys = periods.groupBy("ref").agg(F.sum("n").alias("n"), F.min("min_ts").alias("first_use"))
-    heavy = cut(keys.filter(F.col("n") >= heavy_threshold(total, heavy_share)).select("ref", "first_use"), "reference-heavy")
-    light = keys.join(F.broadcast(heavy), "ref", "left_anti").select("ref", "first_use")
-    hot = F.broadcast(heavy).join(known.join(F.broadcast(heavy.select("ref")), "ref", "left_semi"), "ref", "left")
-    cold = light.join(known, "ref", "left")
-    verdict = hot.unionByName(cold).select(
-        "ref",
-        F.when(F.coalesce("there", F.lit(False)), "late").when(F.coalesce("withdrawn", F.lit(False)), "withdrawn").otherwise("missing").alias("kind"),
-        "first_ts",
-        "first_use",
-    )
-    return periods, heavy, cut(verdict.filter((F.col("kind") != "late") | (F.col("first_use") < F.col("first_ts"))).drop("first_use"), "reference-verdicts")
-
-
-def orphan_rows(refs: DataFrame, known: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
-    """(tab, row_id, ref_doc_num, kind): each reference whose target is missing, withdrawn or late."""
-    _, heavy, suspects = _suspects(refs, known, heavy_share)
-    found = lookup_split(refs, suspects, heavy, "ref")
+    heavy = cut(heavy_keys(periods.groupBy("ref").agg(F.sum("n").alias("n")), "ref", heavy_share and max(1, int(1 / heavy_share))), "reference-heavy")
+    # at most as many heavy keys as shuffle partitions, and one target for each
+    keys = F.broadcast(heavy.select("ref"))
+    hot = periods.join(keys, "ref", "left_semi").join(F.broadcast(known.join(keys, "ref", "left_semi")), "ref", "left")
+    cold = periods.join(keys, "ref", "left_anti")
+    there = known.filter("there")
+    absent = cold.join(there.select("ref"), "ref", "left_anti").join(known.filter("NOT there"), "ref", "left")
+    late = cold.join(there.filter(F.col("first_ts").isNotNull()), "ref")
+    kind = F.when(F.coalesce("there", F.lit(False)), "late").when(F.coalesce("withdrawn", F.lit(False)), "withdrawn").otherwise("missing")
+    judged = hot.unionByName(absent).unionByName(late).withColumn("kind", kind)
+    return refs, heavy, cut(judged.filter((F.col("kind") != "late") | (F.col("min_ts") < F.col("first_ts"))).drop("there", "withdrawn"), "reference-verdicts")
+
+
+def orphan_rows(refs: DataFrame, known: DataFrame, heavy_share: float | None = None) -> DataFrame:
+    """(tab, row_id, ref_doc_num, kind): each reference whose target is missing, withdrawn or late.
+
+    Keys with more than ``heavy_share`` of all references are heavy; by default, more than an equal share of a shuffle partition.
+    """
+    refs, heavy, judged = _judge(refs, known, heavy_share)
+    suspects = judged.groupBy("ref", "kind").agg(F.min("first_ts").alias("first_ts"))
+    found = salted_join(refs, suspects, heavy, "ref", ["tab", "row_id"])
     return found.filter((F.col("kind") != "late") | (F.col("ts") < F.col("first_ts"))).select(
         "tab", "row_id", F.col("ref").alias("ref_doc_num"), "kind"
     )
 
 
-def orphan_counts(refs: DataFrame, known: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+def orphan_counts(refs: DataFrame, known: DataFrame, heavy_share: float | None = None) -> DataFrame:
     """(tab, month, kind, n_refs, n_numbers) from the pre-aggregated periods.
 
     Only periods in which a target appeared, so that some references are late
     and others aren't, need their rows again.
     """
-    periods, heavy, suspects = _suspects(refs, known, heavy_share)
-    judged = lookup_split(periods, suspects, heavy, "ref")
+    refs, heavy, judged = _judge(refs, known, heavy_share)
     absent = F.col("kind") != "late"
     whole = judged.filter(absent | (F.col("max_ts") < F.col("first_ts"))).select(
         "tab", "month", "kind", "ref", F.when(absent, F.col("n")).otherwise(F.col("timed")).alias("n")
     )
-    mixed = judged.filter(~absent & (F.col("min_ts") < F.col("first_ts")) & (F.col("max_ts") >= F.col("first_ts"))).select("ref", "tab", "month", "first_ts")
+    # a target appears once, so a number has at most one such month in each table
+    mixed = judged.filter(~absent & (F.col("max_ts") >= F.col("first_ts"))).select("ref", F.col("tab").alias("in_tab"), F.col("month").alias("in_month"), "first_ts")
     late = (
-        refs.withColumn("month", month_of(F.col("ts")))
-        .join(mixed, ["ref", "tab", "month"])
-        .filter(F.col("ts") < F.col("first_ts"))
-        .groupBy("tab", "month", "ref")
+        salted_join(refs, mixed, heavy, "ref", ["tab", "row_id"])
+        .filter((F.col("tab") == F.col("in_tab")) & (month_of(F.col("ts")) == F.col("in_month")) & (F.col("ts") < F.col("first_ts")))
+        .groupBy("tab", F.col("in_month").alias("month"), "ref")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("kind", F.lit("late"))
     )

@@ -25,8 +25,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Private-use characters that no name holds: a place to cut, a mark after a delimiter that doesn't cut, an unclosed quote.
-CUT, KEEP, QUOTE = "\ue001", "\ue000", "\ue002"
+#: Private-use characters as marks: a place to cut, one after a delimiter that doesn't cut, an unclosed quote. Where a text holds
+#: these itself, they are written as ESCAPE with a letter from the same block, and read back in the values.
+CUT, KEEP, QUOTE, ESCAPE = "\ue001", "\ue000", "\ue002", "\ue003"
+ESCAPED = {ESCAPE: ESCAPE + "\ue013", KEEP: ESCAPE + "\ue010", CUT: ESCAPE + "\ue011", QUOTE: ESCAPE + "\ue012"}
 
 #: What may follow a name after a comma.
 SUFFIXES = "inc ltd limited incorporated gmbh llc llp corp corporation co company plc ag sa bv kg oy ab jr sr ii iii iv phd md esq".split()
@@ -111,8 +113,23 @@ def _bare(value: Column) -> Column:
     return F.replace(F.replace(F.when(enclosed, inner).otherwise(v), F.lit('""'), F.lit('"')), F.lit(QUOTE), F.lit('"'))
 
 
+def _escaped(text: Column) -> Column:
+    out = text
+    for mark, written in ESCAPED.items():
+        out = F.replace(out, F.lit(mark), F.lit(written))
+    return F.when(text.rlike(f"[{KEEP}-{ESCAPE}]"), out).otherwise(text)
+
+
+def _read_back(value: Column) -> Column:
+    out = value
+    for mark, written in reversed(ESCAPED.items()):
+        out = F.replace(out, F.lit(written), F.lit(mark))
+    return F.when(value.contains(ESCAPE), out).otherwise(value)
+
+
 def split_values(text: Column, names: list[str]) -> Column:
     """Array of the values of ``text``, in order. ``names``: the bounded list of known bodies."""
+    text = _escaped(text)
     protect, shorts = protected_pattern(names), "|".join(map(re.escape, short_names(names))) or "(?!)"
     quotes = F.length(text) - F.length(F.replace(text, F.lit('"')))
     closed = F.when(quotes % 2 == 0, text).otherwise(F.regexp_replace(text, r'"(?=[^"]*$)', QUOTE))
@@ -124,7 +141,7 @@ def split_values(text: Column, names: list[str]) -> Column:
         ),
     )
     whole = F.aggregate(pieces, F.lit(""), lambda done, piece: F.concat(done, piece))
-    return F.filter(F.transform(F.split(whole, CUT), _bare), lambda v: v != "")
+    return F.filter(F.transform(F.split(whole, CUT), lambda v: _read_back(_bare(v))), lambda v: v != "")
 
 
 def explode_values(df: DataFrame, id_col: str, text_col: str, names: list[str]) -> DataFrame:

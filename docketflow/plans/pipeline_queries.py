@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketflow.functions.docnum import doc_number
 from docketflow.operators import hot_keys, instants, orphans, packed_values
+from docketflow.runtime import fresh_path
 from docketflow.sources.tables import load
 
 REGISTER, MATCHES = "utc_doc_reg_df", "email_match_df"
@@ -66,6 +67,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.filter(F.col("utc_micros").isNotNull() & ~plain).select("tab", "row_id", "utc_micros")
 
 
+def p4_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p4_instants, in two runs with one dictionary: the register's texts are parsed by the first, the second parses only the matches' new ones."""
+    rows, feeds, path = _dated(spark, sf_dir), load(spark, sf_dir, "feeds"), fresh_path(spark, "instants")
+    first = instants.normalise(rows.filter(F.col("tab") == REGISTER), feeds, path)
+    first.write.format("noop").mode("overwrite").save()
+    return instants.normalise(rows, feeds, path).select("tab", "row_id", "utc_micros")
+
+
 def body_names(spark: SparkSession, sf_dir: str) -> list[str]:
     """Names of the bodies in the directory, a fixed table; refuses one that has grown out of bounds."""
     rows = load(spark, sf_dir, "contributors").filter((F.col("kind") == "org") & F.col("full_name").isNotNull()).select("full_name").limit(MAX_NAMES + 1).collect()
@@ -86,7 +95,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.filter("n_values > 1").select(F.col("row_id").alias("reg_id"), "pos", "item")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_profiles, p4_found, p4_instants, p7_found, p7_values)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_profiles, p4_found, p4_instants, p4_incremental, p7_found, p7_values)}
 
 _NUM = r"[Ll]2\s*/\s*(\d{2})\s*[\-\x{2010}-\x{2015}\x{2212}\x{fe58}\x{fe63}\x{ff0d}]\s*(\d{3,})"
 

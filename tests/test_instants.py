@@ -76,3 +76,15 @@ def test_hot_text_and_empty(spark):
     done = instants.normalise(df, feeds)
     assert done.filter("utc_micros IS NOT NULL").count() == 3000
     assert instants.normalise(df.limit(0), feeds).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "zone", "micros"),
+    [
+        ("2015-07-01 12:00 IST", "Asia/Kolkata", "2015-07-01T06:30:00"), ("2015-07-01 12:00 IST", "Europe/Dublin", "2015-07-01T11:00:00"), ("2015-07-01 12:00 BST", "Europe/London", "2015-07-01T11:00:00"),
+        ("2015-07-01 12:00 IST", "UTC", None), ("2015-01-01 12:00 BST", "Europe/London", None), ("2015-07-01 12:00 IST", None, None), ("x" * 100_000, "UTC", None), (" " * 500 + "1 July 2015" + " " * 500, "UTC", "2015-07-01T00:00:00"),
+    ],
+)
+def test_zone_of_the_feed_decides_between_meanings(text, zone, micros):
+    expected = None if micros is None else int(datetime.fromisoformat(micros).replace(tzinfo=timezone.utc).timestamp()) * 1_000_000
+    assert parse_instant(text, zone, True) == expected

@@ -29,6 +29,7 @@ CASES = {
     'Ann Lee; Bo "Ray': ["Ann Lee", 'Bo "Ray'],
     "Ann Lee": ["Ann Lee"],
     "Lee, Ann": ["Lee, Ann"],
+    "Ann\ue000Lee; B\ue001o\ue003\ue010, C\ue002y Fox": ["Ann\ue000Lee", "B\ue001o\ue003\ue010", "C\ue002y Fox"],
     " ;; ": [],
     "": [],
 }
