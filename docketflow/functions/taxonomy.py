@@ -1,72 +1,12 @@
-"""Keyword rules for register documents, as data."""
+"""Keyword rules for register documents, read from ``keywords.toml``, where they are kept as data."""
 
-# Categories, subcategories and keywords of document types.
-DOCUMENT_TYPES = {
-    "Meeting Documents": {
-        "Agendas": ["agenda", "agendas", "meeting agenda", "discussion topic", "discussion topics", "topic for discussion", "topics for discussion"],
-        "Minutes": ["minutes", "mom", "m.o.m.", "notes from meeting", "meeting summary", "meeting record", "record of meeting"],
-        "Decisions & Action Items": [
-            "decision", "decisions", "resolution", "resolutions", "conclusion", "conclusions", "recommendation", "recommendations", "approved", "approve", "reject",
-            "rejection", "denial", "action item", "action items", "motion", "motions", "follow-up", "follow up", "follow ups", "heads-up", "notice", "notices",
-            "notification", "notifications", "announcement", "announcements", "bulletin", "bulletins", "advisory", "advisories",
-        ],
-    },
-    "Public Review & Feedback": {
-        "Public Review Issues (PRI)": ["pri", "pris", "p.r.i.", "pri feedback", "p.r.i. feedback", "public review issue", "public review issues"],
-        "Clarification & Queries": [
-            "clarification", "clarifications", "explain", "explanation", "explanations", "clarify", "query", "queries", "question", "questions", "inquiry", "inquiries", "ask", "please clarify",
-        ],
-        "General Feedback & Correspondence": [
-            "feedback", "feed-back", "feed back", "comments", "comment", "remarks", "remark", "observation", "observations", "review", "reviews", "response", "responses", "reply to",
-            "rebuttal", "reaction to", "counter-proposal", "counter proposal", "issue", "issues", "problem", "problems", "concern", "concerns", "reaction", "reactions", "notes",
-            "discussion", "letter", "letters", "mailing list", "misc mailing", "mails",
-        ],
-    },
-    "Proposals": {
-        "Character Encoding Proposals": [
-            "proposal", "proposals", "proposed", "prop.", "submission", "submissions", "encode", "addition", "add", "new character", "new characters", "new script", "new scripts",
-            "disunify", "unify", "un-encode", "unencode", "de-unify", "request to encode", "request for codepoints", "request for addition", "draft encoding", "new emoji",
-            "emoji submission", "emoji submissions",
-        ],
-        "Technical & Process Proposals": [
-            "change request", "change requests", "change order", "change orders", "addendum", "addenda", "amendment", "amendments", "extension", "extensions", "revision", "revisions",
-            "revised", "revised doc", "appendix", "appendices", "modification", "modifications", "process proposal", "process proposals", "technical proposal", "technical proposals",
-            "update", "updates", "edit", "edits", "refine", "refinement", "synchronize", "synchronization", "fix", "fixes", "fixed", "alternative", "alternatives",
-            "alternative encoding", "line_break", "word_break", "sentence_break", "line break", "line breaks", "word break", "word breaks", "sentence break", "sentence breaks",
-            "collation", "normalization", "normalizations", "compatibility", "data file", "data files", "code chart", "code charts", "nameslist", "alias", "aliases",
-            "terminal_punctuation", "namespace", "loose matching",
-        ],
-    },
-    "Standards & Specifications": {
-        "Unicode Standard & Annexes (UAX)": ["uax", "unicode standard annex", "unicode annex", "annex", "uax#", "annex update", "(snapshot)"],
-        "Unicode Technical Standards (UTS)": ["uts", "unicode technical standard", "uts#"],
-        "Unicode Technical Reports (UTR)": ["utr", "unicode technical report", "utr#"],
-        "Unicode Technical Notes (UTN)": ["utn", "unicode technical note", "utn#"],
-        "Errata & Corrigenda": [
-            "errata", "erratum", "corrigendum", "corrigenda", "correction", "corrections", "issue", "issues", "error", "errors", "bug", "bugs", "typo", "typos", "inconsistency",
-            "inconsistencies", "problem", "problems", "wrong", "defect", "defects", "suspicious", "fix", "fixes", "missing",
-        ],
-    },
-    "Liaison & External": {
-        "ISO/IEC WG2 Documents & Ballots": [
-            "iso", "wg2", "iec", "jtc1", "sc2", "ballot", "ballots", "national body", "iso ballot", "iso comment", "joint technical committee", "nb comment", "nxxx doc", "irg n", "irg #",
-        ],
-        "Liaison Reports & Agreements": ["liaison", "mou", "memorandum of understanding", "agreement", "agreements", "contract", "sla", "liaison report"],
-    },
-    "Administrative & Miscellaneous": {
-        "Document Registers & Indexes": ["register", "registers", "index", "indexes"],
-        "Schedules & Planning": [
-            "schedule", "schedules", "planning", "timetable", "timetables", "release plan", "release plans", "roadmap", "roadmaps", "calendar", "calendars",
-        ],
-        "Memo/Circular": ["memo", "memos", "memorandum", "memoranda", "circular", "circulars", "internal note", "internal notes", "bulletin", "bulletins"],
-    },
-}
-# Keywords of relevance to pictographs in a subject, and in a text.
-SUBJECT_KEYWORDS = ["emoji", "emojis", "zwj", "emoticon", "emoticons", "kaomoji", "afroji", "animoji", "emojipedia", "emojify", "emojification"]
-TEXT_KEYWORDS = [
-    "emoji", "emojis", "zwj", "emoticon", "emoticons", "kaomoji", "afroji", "animoji", "emojipedia", "emojify", "emojification", "pictograph", "pictographic", "smiley",
-    "smileys", "smilies", "face with", "faces with", "emoji sequence", "emoji character", "emoji proposal", "emoji encoding", "unicode emoji", "skin tone", "face-smiling",
-    "face-with", "hand-gesture", "flag emoji", "keycap", "presentation selector", "emoji modifier", "regional indicator", "emoji tag sequence", "emoji variation sequence",
-]
-OTHERS = "Others/Miscellaneous"
-RELEVANT, IRRELEVANT = "Emoji Relevant", "Irrelevant"
+import pkgutil
+import tomllib
+
+_RULES = tomllib.loads(pkgutil.get_data(__package__, "keywords.toml").decode())
+DOCUMENT_TYPES: dict[str, dict[str, list[str]]] = _RULES["types"]
+SUBJECT_KEYWORDS: list[str] = _RULES["subject"]
+TEXT_KEYWORDS: list[str] = _RULES["text"]
+RELEVANT, IRRELEVANT, OTHERS = _RULES["labels"]
+#: The word for a pictograph, which is also part of column names.
+WORD = SUBJECT_KEYWORDS[0]

@@ -11,32 +11,51 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketflow.operators.hot_keys import exact_quantiles
 from docketflow.operators.prefix import running_totals
+from docketflow.operators.skew import heavy_keys
+from docketflow.runtime import cut
 
 
-def rank_sum(df: DataFrame, value: str, in_a: str) -> DataFrame:
-    """One row (n_a, n_b, u_a, tie_term, z, p_value): two-sided rank-sum test of the rows with ``in_a`` against the others.
+def rank_sums(df: DataFrame, metrics: list[str], in_a: str) -> DataFrame:
+    """Per metric (metric, n_a, n_b, u_a, tie_term, z, p_value): two-sided rank-sum test of the rows with ``in_a`` against the others.
 
     Null values and rows without cohort are left out; without two cohorts the
     statistics are null. p_value is exact for small cohorts without ties, as in
     common practice, else by the normal form with tie and continuity correction.
+    All metrics are ranked in one pass.
     """
+    each = F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics)))
     counted = (
-        df.filter(F.col(value).isNotNull() & F.col(in_a).isNotNull())
-        .groupBy(F.col(value).cast("double").alias("v"))
-        .agg(F.count_if(F.col(in_a)).alias("a"), F.count(F.lit(1)).alias("t"))
+        df.select(F.col(in_a).alias("in_a"), each)
+        .filter(F.col("v").isNotNull() & F.col("in_a").isNotNull())
+        .groupBy("metric", "v")
+        .agg(F.count_if("in_a").alias("a"), F.count(F.lit(1)).alias("t"))
+    )
+    ranked = cut(running_totals(counted, ["metric", "v"], {"upto": "t"}), "ranked")
+    # ranks begin anew with each metric
+    base = F.broadcast(ranked.groupBy("metric").agg(F.min(F.col("upto") - F.col("t")).alias("base")))
+    mid = F.col("upto") - F.col("base") - (F.col("t") - 1) / 2.0
+    sums = ranked.join(base, "metric").groupBy("metric").agg(
+        F.sum("a").alias("a"), F.sum(F.col("t") - F.col("a")).alias("b"), F.sum(mid * F.col("a")).alias("ranks"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties")
     )
-    ranked = running_totals(counted, ["v"], {"upto": "t"})
-    mid = F.col("upto") - (F.col("t") - 1) / 2.0
-    row = ranked.agg(F.sum("a"), F.sum(F.col("t") - F.col("a")), F.sum(mid * F.col("a")), F.sum(F.col("t").cast("double") ** 3 - F.col("t"))).first()
-    n_a, n_b, rank_a, ties = (row[0] or 0, row[1] or 0, row[2] or 0.0, row[3] or 0.0)
-    u = z = p = None
-    if n_a and n_b:
-        u = float(rank_a) - n_a * (n_a + 1) / 2
-        z, p = normal_form(u, n_a, n_b, ties)
-        if ties == 0 and min(n_a, n_b) <= 8:
-            p = exact_p(u, n_a, n_b)
-    return df.sparkSession.createDataFrame([(n_a, n_b, u, float(ties), z, p)], "n_a bigint, n_b bigint, u_a double, tie_term double, z double, p_value double")
+    found, rows = {r["metric"]: r for r in sums.collect()}, []
+    for metric in metrics:
+        row = found.get(metric)
+        n_a, n_b, rank_a, ties = (row["a"], row["b"], row["ranks"], row["ties"]) if row else (0, 0, 0.0, 0.0)
+        u = z = p = None
+        if n_a and n_b:
+            u = float(rank_a) - n_a * (n_a + 1) / 2
+            z, p = normal_form(u, n_a, n_b, ties)
+            if ties == 0 and min(n_a, n_b) <= 8:
+                p = exact_p(u, n_a, n_b)
+        rows.append((metric, n_a, n_b, u, float(ties), z, p))
+    return df.sparkSession.createDataFrame(rows, "metric string, n_a bigint, n_b bigint, u_a double, tie_term double, z double, p_value double")
+
+
+def rank_sum(df: DataFrame, value: str, in_a: str) -> DataFrame:
+    """One row (n_a, n_b, u_a, tie_term, z, p_value), as ``rank_sums`` for one metric."""
+    return rank_sums(df, [value], in_a).drop("metric")
 
 
 def normal_form(u: float, n_a: int, n_b: int, ties: float) -> tuple[float, float]:
@@ -67,8 +86,17 @@ def exact_p(u: float, n_a: int, n_b: int) -> float:
 
 
 def cohort_stats(df: DataFrame, metrics: list[str], cohort: str) -> DataFrame:
-    """(metric, cohort, n, mean, sd, median) of each metric, all in one aggregation."""
+    """(metric, cohort, n, mean, sd, median) of each metric, all in one aggregation.
+
+    Medians come from distributed selection over counts per distinct value; of an
+    even number of values, it is the mean of the two in the middle.
+    """
     long = df.select(cohort, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics)))).filter(
         F.col("value").isNotNull() & F.col(cohort).isNotNull()
     )
-    return long.groupBy("metric", cohort).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.median("value").alias("median"))
+    keyed = long.withColumn("key", F.concat_ws("\u0001", "metric", F.col(cohort).cast("string")))
+    histogram = cut(keyed.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")), "cohort-values")
+    heavy = heavy_keys(histogram.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    middle = exact_quantiles(histogram, heavy, {"low": lambda n: F.ceil(n / 2), "high": lambda n: F.floor(n / 2) + 1})
+    stats = keyed.groupBy("key", "metric", cohort).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return stats.join(middle, "key").select("metric", cohort, "n", "mean", "sd", ((F.col("low") + F.col("high")) / 2).alias("median"))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketflow.functions.taxonomy import WORD
+
 Provider = Callable[[list[str]], list[str]]
 
 # Declared reply schemas.
@@ -33,7 +35,7 @@ def local_provider(prompts: list[str]) -> list[str]:
         words = sorted(set(re.findall(r"\w{5,}", prompt.lower())))
         return json.dumps(
             {
-                "relevant": "emoji" in prompt.lower(), "people": names[:5], "references": sorted(set(re.findall(r"L2/\d{2}-\d{3,}", prompt))), "entities": [],
+                "relevant": WORD in prompt.lower(), "people": names[:5], "references": sorted(set(re.findall(r"L2/\d{2}-\d{3,}", prompt))), "entities": [],
                 "summary": prompt[:200], "description": "", "other_details": "", "keywords": words[:10], "labels": {}, "is_proposal": "proposal" in prompt.lower(),
                 "explicitness": "none", "coverage_pct": 0, "subthemes": [], "evidence": [], "confidence": 1,
             }

@@ -13,6 +13,8 @@ value itself; quantile q of n values is the one of rank max(1, ceil(q n)).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +24,16 @@ from docketflow.runtime import cut
 BINS = 64
 
 
-def _rank(q: float, n: Column) -> Column:
+def _rank(q: float | Callable[[Column], Column], n: Column) -> Column:
+    if callable(q):
+        return q(n).cast("long")
     return F.greatest(F.lit(1), F.ceil(F.lit(q) * n - F.lit(1e-9))).cast("long")
 
 
-def exact_quantiles(histogram: DataFrame, heavy: DataFrame, quantiles: dict[str, float], bins: int = BINS) -> DataFrame:
+def exact_quantiles(histogram: DataFrame, heavy: DataFrame, quantiles: dict[str, float | Callable[[Column], Column]], bins: int = BINS) -> DataFrame:
     """(key, total, one column per quantile) of ``histogram`` (key, value, n), whose counts may be split over rows.
 
+    A quantile is a share, or a function from the number of values to the rank.
     total is the number of values among which ranks were resolved; ``heavy`` (key,
     salts) are the keys of many distinct values.
     """

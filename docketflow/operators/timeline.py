@@ -20,7 +20,7 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def citation_edges(docs: DataFrame, normalize: bool = True) -> DataFrame:
     """(src, dst): document row id to each distinct number that it cites."""
-    norm = normal_id if normalize else (lambda c: c)
+    norm = (lambda c: normal_id(c)) if normalize else (lambda c: c)
     refs = F.array_distinct(F.filter(F.transform("refs", norm), lambda x: x.isNotNull() & (x != "")))
     return docs.select(F.col("row_id").alias("src"), F.explode(refs).alias("dst"))
 

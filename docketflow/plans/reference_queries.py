@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docketflow.functions import dates, text
 from docketflow.operators import cohorts, labels, prefix, relate, timeline
 from docketflow.plans.pipeline_queries import MATCHES, REGISTER
-from docketflow.sources.tables import load
+from docketflow.sources.tables import in_tables, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,14 +21,14 @@ def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = in_tables(sql)
         return f
 
     return keep
 
 
 def _norm(x: str) -> str:
-    p = r"[Ll]2/(\d{2})[-–—](\d{3})"
+    p = r"[Ll]2/(\d{2})[-–—](\d{3,})"
     return f"CASE WHEN regexp_matches({x}, '{p}') THEN 'L2/' || regexp_extract({x}, '{p}', 1) || '-' || regexp_extract({x}, '{p}', 2) ELSE coalesce({x}, '') END"
 
 
@@ -254,7 +254,8 @@ g AS (
   UNION ALL SELECT phrase, lower(array_to_string(w[i:i+2], ' ')) FROM (SELECT phrase, w, unnest(range(1, len(w) - 1)) AS i FROM w)
 ),
 gt AS (SELECT phrase, gram, count(*) AS times FROM g GROUP BY 1, 2),
-x AS (SELECT match_id AS row_id, lower(subject) AS txt FROM email_match_df UNION ALL SELECT match_id, lower(summary) FROM email_match_df),
+x AS (SELECT match_id AS row_id, 'subject' AS field, lower(subject) AS txt FROM email_match_df UNION ALL SELECT match_id, 'summary', lower(summary) FROM email_match_df
+  UNION ALL SELECT match_id, 'shortcodes', lower(array_to_string(pictograph_shortcodes, ' ')) FROM email_match_df),
 dx AS (SELECT DISTINCT txt FROM x WHERE txt IS NOT NULL),
 h AS (SELECT txt, gram FROM dx, (SELECT DISTINCT gram FROM gt) WHERE regexp_matches(txt, '(^|[^\\p{{L}}\\p{{N}}_])' || gram || '($|[^\\p{{L}}\\p{{N}}_])')),
 s AS (SELECT phrase, row_id, sum(times) AS score FROM x JOIN h USING (txt) JOIN gt USING (gram) GROUP BY 1, 2)
@@ -264,8 +265,12 @@ s AS (SELECT phrase, row_id, sum(times) AS score FROM x JOIN h USING (txt) JOIN
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     proposals, mails = load(spark, sf_dir, "proposals"), load(spark, sf_dir, MATCHES)
     phrases = proposals.select(F.explode(F.array("proposal_for_1", "proposal_for_2")).alias("phrase")).filter(F.trim("phrase") != "")
-    fields = F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("subject", "summary"))))
-    return relate.phrase_hits(phrases, mails.select(F.col("match_id").alias("row_id"), fields))
+    return relate.phrase_hits(phrases, _fields(mails))
+
+
+def _fields(mails: DataFrame) -> DataFrame:
+    texts = {"subject": F.col("subject"), "summary": F.col("summary"), "shortcodes": F.array_join("pictograph_shortcodes", " ")}
+    return mails.select(F.col("match_id").alias("row_id"), F.inline(F.array(*(F.struct(F.lit(k).alias("field"), v.alias("text")) for k, v in texts.items()))))
 
 
 @query(_HITS + "SELECT * FROM s")
@@ -291,12 +296,40 @@ def j7_year_window(spark, sf_dir):
 
 
 @query(
-    "WITH RECURSIVE e AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id - 1 END AS parent FROM documents), "
-    "r AS (SELECT id, id AS root FROM e WHERE parent IS NULL OR parent NOT IN (SELECT id FROM e) UNION ALL SELECT e.id, r.root FROM e JOIN r ON e.parent = r.id) SELECT id, root FROM r"
+    _HITS
+    + f""", sf AS (SELECT phrase, row_id, field, sum(times) AS score FROM x JOIN h USING (txt) JOIN gt USING (gram) GROUP BY 1, 2, 3),
+py AS (SELECT DISTINCT doc_num, phrase, CASE WHEN substr(doc_num, 4, 2)::INT < 50 THEN 2000 ELSE 1900 END + substr(doc_num, 4, 2)::INT AS py
+  FROM (SELECT doc_num, proposal_for_1 AS phrase FROM proposals UNION ALL SELECT doc_num, proposal_for_2 FROM proposals) WHERE regexp_matches(doc_num, '^.{{3}}\\d{{2}}.')),
+ph_hits AS (SELECT py.doc_num, sf.row_id, sf.field, sf.score FROM py JOIN sf ON py.phrase = sf.phrase JOIN email_match_df m ON sf.row_id = m.match_id WHERE m.year BETWEEN py - 2 AND py + 2),
+refs AS (SELECT DISTINCT match_id, year, {_norm('r')} AS ref FROM (SELECT match_id, year, unnest(extracted_doc_refs) AS r FROM email_match_df)),
+rf AS (SELECT DISTINCT py.doc_num, match_id AS row_id, 'reference' AS field, 1 AS score FROM (SELECT DISTINCT doc_num, py FROM py) py JOIN refs ON {_norm('py.doc_num')} = ref WHERE year BETWEEN py - 2 AND py + 2)
+SELECT doc_num, row_id, sum(score) AS score, string_agg(DISTINCT field, '; ' ORDER BY field) AS match_types FROM (SELECT * FROM ph_hits UNION ALL SELECT * FROM rf) GROUP BY 1, 2"""
+)
+def j8_scored_matches(spark, sf_dir):
+    """Mails at most two years from a proposal that name it: one point for each n-gram of its phrases in each field, and one for its number among their references."""
+    proposals, mails = load(spark, sf_dir, "proposals"), load(spark, sf_dir, MATCHES)
+    year = text.id_year(F.col("doc_num")).alias("py")
+    dated = proposals.select("doc_num", year, F.explode(F.array_distinct(F.array("proposal_for_1", "proposal_for_2"))).alias("phrase")).filter(F.col("py").isNotNull()).distinct()
+    years = mails.filter("year IS NOT NULL").select(F.col("match_id").alias("row_id"), "year")
+    hits = relate.phrase_field_hits(dated.filter(F.trim("phrase") != "").select("phrase"), _fields(mails)).join(years, "row_id")
+    by_phrase = relate.year_window(dated, hits, "py", "year", 2, ["phrase"]).select("doc_num", "row_id", "field", "score")
+    refs = mails.filter("year IS NOT NULL").select(F.col("match_id").alias("row_id"), "year", F.explode("extracted_doc_refs").alias("r")).select("row_id", "year", text.normal_id(F.col("r")).alias("ref")).distinct()
+    numbers = dated.select("doc_num", "py", text.normal_id(F.col("doc_num")).alias("ref")).distinct()
+    by_number = relate.year_window(numbers, refs, "py", "year", 2, ["ref"]).select("doc_num", "row_id").distinct().select("*", F.lit("reference").alias("field"), F.lit(1).cast("long").alias("score"))
+    per = by_phrase.unionByName(by_number).groupBy("doc_num", "row_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("field")).alias("fields"))
+    return per.select("doc_num", "row_id", "score", F.array_join("fields", "; ").alias("match_types"))
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT doc_id AS id, lag(doc_id) OVER (PARTITION BY thread_key ORDER BY posted_ts NULLS LAST, doc_id) AS parent FROM documents WHERE thread_key IS NOT NULL "
+    "UNION ALL SELECT doc_id, NULL FROM documents WHERE thread_key IS NULL), "
+    "r AS (SELECT id, id AS root FROM e WHERE parent IS NULL UNION ALL SELECT e.id, r.root FROM e JOIN r ON e.parent = r.id) SELECT id, root FROM r"
 )
 def j17_thread_roots(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
-    return relate.roots(docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") - 1).alias("parent")))
+    """The first document of each thread, by pointers to the one before: chains as long and uneven as the threads are."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "thread_key", "posted_ts")
+    before = F.lag("doc_id").over(Window.partitionBy("thread_key").orderBy(F.col("posted_ts").asc_nulls_last(), "doc_id"))
+    return relate.roots(docs.select(F.col("doc_id").alias("id"), F.when(F.col("thread_key").isNotNull(), before).alias("parent")))
 
 
 # labels, counts, shares
@@ -331,21 +364,21 @@ def a4_share_within(spark, sf_dir):
 
 
 @query(
-    "SELECT year(ingest_ts) AS year, count(*) FILTER (emoji_relevant) AS relevant, count(*) FILTER (NOT emoji_relevant) AS irrelevant, count(*) FILTER (emoji_relevant IS NULL) AS unknown "
+    "SELECT year(ingest_ts) AS year, count(*) FILTER (pictograph_relevant) AS relevant, count(*) FILTER (NOT pictograph_relevant) AS irrelevant, count(*) FILTER (pictograph_relevant IS NULL) AS unknown "
     "FROM utc_doc_reg_df WHERE ingest_ts IS NOT NULL GROUP BY 1"
 )
 def a6_pivot(spark, sf_dir):
-    kind = F.when(F.col("emoji_relevant"), "relevant").when(~F.col("emoji_relevant"), "irrelevant").otherwise("unknown")
+    kind = F.when(F.col("pictograph_relevant"), "relevant").when(~F.col("pictograph_relevant"), "irrelevant").otherwise("unknown")
     rows = load(spark, sf_dir, REGISTER).filter("ingest_ts IS NOT NULL").select(F.year("ingest_ts").alias("year"), kind.alias("kind"))
     return rows.groupBy("year").pivot("kind", ["relevant", "irrelevant", "unknown"]).count().na.fill(0)
 
 
 @query(
-    "WITH y AS (SELECT year(ingest_ts) AS year, count(*) AS n, count(*) FILTER (emoji_relevant) AS k FROM utc_doc_reg_df WHERE ingest_ts IS NOT NULL GROUP BY 1), "
+    "WITH y AS (SELECT year(ingest_ts) AS year, count(*) AS n, count(*) FILTER (pictograph_relevant) AS k FROM utc_doc_reg_df WHERE ingest_ts IS NOT NULL GROUP BY 1), "
     "p AS (SELECT year, n, round_even(100.0::DOUBLE * k / n, 1) AS pct FROM y) SELECT year, n, pct, round(pct - lag(pct) OVER (ORDER BY year), 6) AS change FROM p"
 )
 def w2_year_over_year(spark, sf_dir):
-    per = load(spark, sf_dir, REGISTER).filter("ingest_ts IS NOT NULL").groupBy(F.year("ingest_ts").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count_if("emoji_relevant").alias("k"))
+    per = load(spark, sf_dir, REGISTER).filter("ingest_ts IS NOT NULL").groupBy(F.year("ingest_ts").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count_if("pictograph_relevant").alias("k"))
     pct = per.select("year", "n", F.bround(100.0 * F.col("k") / F.col("n"), 1).alias("pct"))
     return labels.year_over_year(pct, "year", "pct", []).withColumn("change", F.round("change", 6))
 
@@ -357,14 +390,14 @@ def w1_cumulative(spark, sf_dir):
 
 
 @query(
-    "WITH s AS (SELECT source, emoji_relevant FROM documents_x), a AS (SELECT DISTINCT source FROM s WHERE emoji_relevant AND source IS NOT NULL), b AS (SELECT DISTINCT source FROM s WHERE NOT emoji_relevant AND source IS NOT NULL) "
+    "WITH s AS (SELECT source, pictograph_relevant FROM documents_x), a AS (SELECT DISTINCT source FROM s WHERE pictograph_relevant AND source IS NOT NULL), b AS (SELECT DISTINCT source FROM s WHERE NOT pictograph_relevant AND source IS NOT NULL) "
     "SELECT count(*) FILTER (b.source IS NULL) AS only_a, count(*) FILTER (a.source IS NOT NULL AND b.source IS NOT NULL) AS both, count(*) FILTER (a.source IS NULL) AS only_b, "
     "count(*) FILTER (a.source IS NOT NULL AND b.source IS NOT NULL)::DOUBLE / count(*) FILTER (a.source IS NOT NULL) AS recall, "
     "count(*) FILTER (a.source IS NOT NULL AND b.source IS NOT NULL)::DOUBLE / count(*) FILTER (b.source IS NOT NULL) AS precision FROM a FULL JOIN b ON a.source = b.source".replace("documents_x", "utc_doc_reg_df")
 )
 def u4_overlap(spark, sf_dir):
-    r = load(spark, sf_dir, REGISTER).select("source", "emoji_relevant")
-    return relate.overlap(r.filter("emoji_relevant"), r.filter("NOT emoji_relevant"), "source")
+    r = load(spark, sf_dir, REGISTER).select("source", "pictograph_relevant")
+    return relate.overlap(r.filter("pictograph_relevant"), r.filter("NOT pictograph_relevant"), "source")
 
 
 @query(
@@ -411,34 +444,34 @@ def a18_volume_rates(spark, sf_dir):
 
 
 _METRICS = (
-    "WITH l AS (SELECT emoji_relevant, 'confidence_score' AS metric, confidence_score::DOUBLE AS value FROM email_match_df UNION ALL SELECT emoji_relevant, 'people', len(people)::DOUBLE FROM email_match_df) "
+    "WITH l AS (SELECT pictograph_relevant, 'confidence_score' AS metric, confidence_score::DOUBLE AS value FROM email_match_df UNION ALL SELECT pictograph_relevant, 'people', len(people)::DOUBLE FROM email_match_df) "
 )
 
 
 def _mail_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, MATCHES).select("emoji_relevant", "confidence_score", F.when(F.col("people").isNotNull(), F.size("people")).alias("people"))
+    return load(spark, sf_dir, MATCHES).select("pictograph_relevant", "confidence_score", F.when(F.col("people").isNotNull(), F.size("people")).alias("people"))
 
 
 @query(
     _METRICS
-    + "SELECT metric, emoji_relevant, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, median(value) AS median FROM l WHERE value IS NOT NULL AND emoji_relevant IS NOT NULL GROUP BY 1, 2"
+    + "SELECT metric, pictograph_relevant AS relevant, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, median(value) AS median FROM l WHERE value IS NOT NULL AND pictograph_relevant IS NOT NULL GROUP BY 1, 2"
 )
 def a16_cohort_stats(spark, sf_dir):
-    return cohorts.cohort_stats(_mail_metrics(spark, sf_dir), ["confidence_score", "people"], "emoji_relevant").withColumns({c: F.round(c, 6) for c in ("mean", "sd")})
+    return cohorts.cohort_stats(_mail_metrics(spark, sf_dir), ["confidence_score", "people"], "pictograph_relevant").withColumns({c: F.round(c, 6) for c in ("mean", "sd")}).withColumnRenamed("pictograph_relevant", "relevant")
 
 
 @query(
-    "WITH x AS (SELECT confidence_score AS v, emoji_relevant AS a, rank() OVER (ORDER BY confidence_score) + (count(*) OVER (PARTITION BY confidence_score) - 1) / 2.0 AS r FROM email_match_df "
-    "WHERE confidence_score IS NOT NULL AND emoji_relevant IS NOT NULL), t AS (SELECT sum(k * k * k - k) AS ties FROM (SELECT count(*)::DOUBLE AS k FROM x GROUP BY v)) "
+    "WITH x AS (SELECT confidence_score AS v, pictograph_relevant AS a, rank() OVER (ORDER BY confidence_score) + (count(*) OVER (PARTITION BY confidence_score) - 1) / 2.0 AS r FROM email_match_df "
+    "WHERE confidence_score IS NOT NULL AND pictograph_relevant IS NOT NULL), t AS (SELECT sum(k * k * k - k) AS ties FROM (SELECT count(*)::DOUBLE AS k FROM x GROUP BY v)) "
     "SELECT count(*) FILTER (a) AS n_a, count(*) FILTER (NOT a) AS n_b, sum(r) FILTER (a)::DOUBLE - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2.0::DOUBLE AS u_a, (SELECT ties FROM t) AS tie_term FROM x"
 )
 def st1_rank_sum(spark, sf_dir):
-    return cohorts.rank_sum(load(spark, sf_dir, MATCHES), "confidence_score", "emoji_relevant").select("n_a", "n_b", "u_a", "tie_term")
+    return cohorts.rank_sum(load(spark, sf_dir, MATCHES), "confidence_score", "pictograph_relevant").select("n_a", "n_b", "u_a", "tie_term")
 
 
 @query()
 def st1_p_value(spark, sf_dir):
-    return cohorts.rank_sum(load(spark, sf_dir, MATCHES), "confidence_score", "emoji_relevant")
+    return cohorts.rank_sum(load(spark, sf_dir, MATCHES), "confidence_score", "pictograph_relevant")
 
 
 # dedupe, sets, projections
@@ -480,12 +513,13 @@ def u1_union_by_name(spark, sf_dir):
 
 # text and dates
 
-_REFS = "list_sort(list_distinct([regexp_replace(x, '[‐–—−]', '-', 'g') for x in regexp_extract_all(coalesce(text, ''), 'L2/\\d{2}[-‐–—−]\\d{3}')]))"
+_REFS = "list_sort(list_distinct([regexp_replace(x, '[‐–—−]', '-', 'g') for x in regexp_extract_all(coalesce(text, ''), 'L2/\\d{2}[-‐–—−]\\d{3,}')]))"
 
 
 @query(
     f"SELECT doc_id, array_to_string({_REFS}, ',') AS refs, coalesce({_REFS}[1], '') AS first_ref, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), ':([a-z0-9_\\-+]+):', 1))), ',') AS shortcodes, "
-    "array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(coalesce(text, ''), '[Uu]\\+([0-9A-F]{4,6})', 1), regexp_extract_all(coalesce(text, ''), 'code[\\s-]?point[\\s:]+([0-9A-F]{4,6})', 1)))), ',') AS code_points FROM documents"
+    "array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(coalesce(text, ''), '[Uu]\\+([0-9A-F]{4,6})', 1), regexp_extract_all(coalesce(text, ''), 'code[\\s-]?point[\\s:]+([0-9A-F]{4,6})', 1), "
+    "regexp_extract_all(coalesce(text, ''), '\\\\u([0-9A-F]{4,6})', 1), regexp_extract_all(coalesce(text, ''), '&#x([0-9A-F]{4,6});', 1), regexp_extract_all(coalesce(text, ''), '\\\\x\\{([0-9A-F]{4,6})\\}', 1)))), ',') AS code_points FROM documents"
 )
 def f7_mined(spark, sf_dir):
     t = F.col("text")
@@ -523,7 +557,7 @@ def f2_classified(spark, sf_dir):
     return labels.flatten(load(spark, sf_dir, REGISTER).select("reg_id", text.classify(F.col("subject")).alias("labels")), "labels", ["reg_id"])
 
 
-@query(f"SELECT reg_id, CASE WHEN {_kw_sql('subject', text.SUBJECT_KEYWORDS)} THEN 'Emoji Relevant' ELSE 'Irrelevant' END AS relevance FROM utc_doc_reg_df")
+@query(f"SELECT reg_id, CASE WHEN {_kw_sql('subject', text.SUBJECT_KEYWORDS)} THEN '{text.RELEVANT}' ELSE '{text.IRRELEVANT}' END AS relevance FROM utc_doc_reg_df")
 def f3_relevance(spark, sf_dir):
     return load(spark, sf_dir, REGISTER).select("reg_id", text.relevance(F.col("subject")).alias("relevance"))
 
@@ -535,8 +569,13 @@ def f4_keyword_hits(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.array_join(F.coalesce(text.keyword_hits(F.col("text")), F.array().cast("array<string>")), ",").alias("hits"))
 
 
+_TAIL = rf"(?i)(\s*\[{text.WORD} proposal\]|(\s+unicode)?\s+{text.WORD}( proposal)?)$"
+
+
 @query(
-    "SELECT doc_num, trim(CASE WHEN regexp_matches(proposal_title, '(?i)^proposal for emoji[:\\s-]') THEN regexp_extract(proposal_title, '(?i)^proposal for emoji[:\\s-]\\s*(.+?)(?:\\s+(?:unicode\\s+)?emoji)?$', 1) ELSE proposal_title END, ' ') AS subject FROM proposals"
+    f"WITH b AS (SELECT doc_num, proposal_title AS t, regexp_replace(proposal_title, '{_TAIL}', '') AS bare FROM proposals) SELECT doc_num, trim(CASE "
+    f"WHEN regexp_matches(bare, '(?i)^proposal for {text.WORD}[:\\s-]\\s*.') THEN regexp_replace(bare, '(?i)^proposal for {text.WORD}[:\\s-]\\s*', '') "
+    "WHEN bare <> t THEN regexp_replace(bare, '(?i)^proposal for\\s+', '') ELSE t END, ' ') AS subject FROM b"
 )
 def f27_proposed(spark, sf_dir):
     return load(spark, sf_dir, "proposals").select("doc_num", text.proposed_subject(F.col("proposal_title")).alias("subject"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketflow.sources.tables import load
+from docketflow.sources.tables import in_tables, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,7 +23,7 @@ def _add(name: str, sql: str, duck: str | None = None) -> None:
         return spark.sql(sql, **{t: load(spark, sf_dir, t) for t in names})
 
     run.__name__ = name
-    QUERIES[name], SQL[name] = run, re.sub(r"\{(\w+)\}", r"\1", duck or sql)
+    QUERIES[name], SQL[name] = run, in_tables(re.sub(r"\{(\w+)\}", r"\1", duck or sql))
 
 
 # projections and filters
@@ -31,7 +31,7 @@ _add("pr1_dropna", "SELECT reg_id, doc_num, source FROM {utc_doc_reg_df} WHERE d
 _add("pr3_year_range", "SELECT match_id, year FROM {email_match_df} WHERE year BETWEEN 2013 AND 2016")
 _add("pr4_date_window", "SELECT reg_id FROM {utc_doc_reg_df} WHERE ingest_ts >= timestamp_ntz'2013-01-01 00:00:00' AND ingest_ts <= timestamp_ntz'2015-12-31 00:00:00'",
      "SELECT reg_id FROM {utc_doc_reg_df} WHERE ingest_ts >= TIMESTAMP '2013-01-01 00:00:00' AND ingest_ts <= TIMESTAMP '2015-12-31 00:00:00'")
-_add("pr5_any_flag", "SELECT reg_id FROM {utc_doc_reg_df} WHERE coalesce(emoji_relevant, false) OR coalesce(is_emoji_relevant, false)")
+_add("pr5_any_flag", "SELECT reg_id FROM {utc_doc_reg_df} WHERE coalesce(pictograph_relevant, false) OR coalesce(is_pictograph_relevant, false)")
 _add("pr6_has_label", "SELECT reg_id, coalesce(map_contains_key(doc_type, 'Meeting Documents'), false) AS meeting FROM {utc_doc_reg_df}",
      "SELECT reg_id, coalesce(list_contains(map_keys(doc_type), 'Meeting Documents'), false) AS meeting FROM {utc_doc_reg_df}")
 _add("pr13_distinct_pairs", "SELECT DISTINCT feed, file_extension FROM {utc_doc_reg_df}")
@@ -56,8 +56,8 @@ _add("a12_distinct_members", "SELECT feed, count(DISTINCT p) AS n_people FROM (S
 _add("a13_date_range", "SELECT feed, min(ingest_ts) AS first_ts, max(ingest_ts) AS last_ts FROM {utc_doc_reg_df} GROUP BY 1")
 _add("a14_counts_without", "SELECT proposal_doc_num, count(*) AS n FROM {email_match_df} m WHERE NOT EXISTS (SELECT 1 FROM {register_withdrawals} w WHERE w.doc_num = m.proposal_doc_num) AND proposal_doc_num IS NOT NULL GROUP BY 1")
 _add("a17_strata", "SELECT coalesce(match_type, 'overall') AS stratum, count(*) AS n, round(avg(confidence_score), 6) AS mean FROM {email_match_df} WHERE match_type IS NOT NULL GROUP BY GROUPING SETS ((match_type), ())")
-_add("a19_composition", "SELECT year, count(*) AS n, round(100.0D * sum(CASE WHEN emoji_relevant THEN 1 ELSE 0 END) / count(*), 6) AS pct FROM {email_match_df} WHERE year IS NOT NULL GROUP BY 1",
-     "SELECT year, count(*) AS n, round(100.0::DOUBLE * sum(CASE WHEN emoji_relevant THEN 1 ELSE 0 END) / count(*), 6) AS pct FROM {email_match_df} WHERE year IS NOT NULL GROUP BY 1")
+_add("a19_composition", "SELECT year, count(*) AS n, round(100.0D * sum(CASE WHEN pictograph_relevant THEN 1 ELSE 0 END) / count(*), 6) AS pct FROM {email_match_df} WHERE year IS NOT NULL GROUP BY 1",
+     "SELECT year, count(*) AS n, round(100.0::DOUBLE * sum(CASE WHEN pictograph_relevant THEN 1 ELSE 0 END) / count(*), 6) AS pct FROM {email_match_df} WHERE year IS NOT NULL GROUP BY 1")
 _add("a22_mail_confidence", "SELECT proposal_doc_num, round(avg(confidence_score), 6) AS mean, max(confidence_score) AS most, min(loaded_ts) AS first_ts, max(loaded_ts) AS last_ts FROM {email_match_df} WHERE proposal_doc_num IS NOT NULL GROUP BY 1")
 _add("a23_token_totals", "SELECT feed, sum(token_usage.total_tokens) AS tokens FROM {utc_doc_reg_df} GROUP BY 1")
 _add("a25_mails_per_year", "SELECT year, count(*) AS n FROM {email_match_df} GROUP BY 1")
@@ -68,9 +68,9 @@ _add("w9_forward_fill", "SELECT match_id, last_value(proposal_for_2) IGNORE NULL
      "SELECT match_id, last_value(proposal_for_2 IGNORE NULLS) OVER (PARTITION BY proposal_doc_num ORDER BY match_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM {email_match_df} WHERE proposal_doc_num IS NOT NULL")
 _add("o3_top_ten", "SELECT doc_id, n_chars FROM {documents} WHERE n_chars IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 10")
 _add("o7_top_years", "SELECT year, n FROM (SELECT year, count(*) AS n FROM {email_match_df} WHERE year IS NOT NULL GROUP BY 1) ORDER BY n DESC, year LIMIT 10")
-_add("u2_labelled_union", "SELECT * FROM (SELECT 'relevant' AS cohort, feed, count(*) AS n FROM {utc_doc_reg_df} WHERE emoji_relevant GROUP BY feed ORDER BY n DESC, feed LIMIT 3) UNION ALL SELECT * FROM (SELECT 'other' AS cohort, feed, count(*) AS n FROM {utc_doc_reg_df} WHERE NOT emoji_relevant GROUP BY feed ORDER BY n DESC, feed LIMIT 3)")
+_add("u2_labelled_union", "SELECT * FROM (SELECT 'relevant' AS cohort, feed, count(*) AS n FROM {utc_doc_reg_df} WHERE pictograph_relevant GROUP BY feed ORDER BY n DESC, feed LIMIT 3) UNION ALL SELECT * FROM (SELECT 'other' AS cohort, feed, count(*) AS n FROM {utc_doc_reg_df} WHERE NOT pictograph_relevant GROUP BY feed ORDER BY n DESC, feed LIMIT 3)")
 _add("u6_year_spine", "SELECT DISTINCT y FROM (SELECT year(ingest_ts) AS y FROM {utc_doc_reg_df} UNION SELECT year FROM {email_match_df}) WHERE y IS NOT NULL")
-_add("c10_summary", "SELECT coalesce(cast(emoji_relevant AS STRING), 'unknown') AS cohort, count(*) AS documents, count(DISTINCT source) AS sources, count(DISTINCT feed) AS feeds, min(year(ingest_ts)) AS first_year, max(year(ingest_ts)) AS last_year, round(avg(file_size_kb), 6) AS mean_kb FROM {utc_doc_reg_df} GROUP BY 1")
+_add("c10_summary", "SELECT coalesce(cast(pictograph_relevant AS STRING), 'unknown') AS cohort, count(*) AS documents, count(DISTINCT source) AS sources, count(DISTINCT feed) AS feeds, min(year(ingest_ts)) AS first_year, max(year(ingest_ts)) AS last_year, round(avg(file_size_kb), 6) AS mean_kb FROM {utc_doc_reg_df} GROUP BY 1")
 # text
 _add("f18_stripped", r"SELECT reg_id, length(regexp_replace(subject, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]', '')) AS n FROM {utc_doc_reg_df}",
      r"SELECT reg_id, length(regexp_replace(subject, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]', '', 'g'))::INT AS n FROM {utc_doc_reg_df}")
