@@ -78,6 +78,17 @@ def id_year(doc_num: Column) -> Column:
     return F.when((F.length(doc_num) >= 6) & yy.rlike(r"^\d{2}$"), F.when(yy.cast("int") < 50, yy.cast("int") + 2000).otherwise(yy.cast("int") + 1900))
 
 
+def id_parts(doc_num: Column) -> dict[str, Column]:
+    """Other readings of a number: its year as 20yy, its first four and first nine characters."""
+    return {"short_year": F.concat(F.lit("20"), F.substring(doc_num, 4, 2)), "head": F.substring(doc_num, 1, 4), "id": F.substring(doc_num, 1, 9)}
+
+
+def id_in_range(doc_num: Column, first: int, last: int) -> Column:
+    """Whether characters four and five are digits from first to last; false for null."""
+    yy = F.substring(doc_num, 4, 2)
+    return F.coalesce(yy.rlike(r"^\d{2}$") & yy.try_cast("int").between(first, last), F.lit(False))
+
+
 def code_points(text: Column) -> Column:
     """Hexadecimal code points in any of five notations, sorted."""
     # Notations of a code point.
@@ -125,6 +136,18 @@ def extension(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"\.([^./]+)$", 1))
 
 
+#: Which reader a file of an extension goes to.
+READERS = {"txt": "text", "htm": "html", "html": "html", "pdf": "pdf"}
+
+
+def reader_of(url: Column) -> Column:
+    """The reader for an address by its extension; '' where there is none, so that its text is empty."""
+    ext, out = extension(url), F.lit("")
+    for e, reader in READERS.items():
+        out = F.when(ext == e, reader).otherwise(out)
+    return out
+
+
 def word_grams(phrase: Column, least: int = 2, most: int = 3) -> Column:
     """All n-grams of a phrase's words with repetitions, after the whole phrase itself."""
     words = F.filter(F.split(F.trim(phrase), r"(?U)\s+"), lambda w: w != "")
@@ -149,7 +172,7 @@ def proposed_subject(title: Column) -> Column:
 
 def sorted_list(text: Column) -> Column:
     """A comma-separated list with trimmed, sorted members."""
-    return F.array_join(F.array_sort(F.transform(F.split(text, ","), F.trim)), ", ")
+    return F.array_join(F.array_sort(F.transform(F.split(text, ","), lambda x: F.trim(x))), ", ")
 
 
 def one_line(text: Column) -> Column:
@@ -203,10 +226,16 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-_PICTOGRAPH = re.compile(
+_PICTOGRAPHS = (
     "(?:[\U0001f1e6-\U0001f1ff]{2}|[#*0-9]\ufe0f?\u20e3|[\u00a9\u00ae\u203c-\u3299\U0001f000-\U0001faff]\ufe0f?[\U0001f3fb-\U0001f3ff]?"
     "(?:\u200d[\u2190-\u2bff\U0001f000-\U0001faff]\ufe0f?[\U0001f3fb-\U0001f3ff]?)*)"
 )
+_PICTOGRAPH = re.compile(_PICTOGRAPHS)
+
+
+def pictograph_sql() -> str:
+    """The pattern of ``pictographs`` as a DuckDB literal's content."""
+    return _PICTOGRAPHS
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -31,3 +31,17 @@ def top_per_group(counted: DataFrame, group: list[str], k: int, *ties: str) -> D
 def year_over_year(counted: DataFrame, year: str, value: str, group: list[str]) -> DataFrame:
     """Difference of a value to the year before it in the table."""
     return counted.withColumn("change", F.col(value) - F.lag(value).over(Window.partitionBy(*group).orderBy(year)))
+
+
+def pivot_counts(rows: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
+    """Counts by row and each of the ``values`` of column, zeros filled in, columns in order of their totals (then as given)."""
+    wide = rows.groupBy(row).pivot(column, values).count().na.fill(0, values)
+    totals = {r[0]: r[1] for r in rows.filter(F.col(column).isin(values)).groupBy(column).count().collect()}
+    return wide.select(row, *sorted(values, key=lambda v: (-totals.get(v, 0), values.index(v))))
+
+
+def top_crosstab(counted: DataFrame, a: str, b: str, k: int) -> DataFrame:
+    """Counts of the k greatest values of ``a`` by those of ``b``, zeros included: k times k rows at most."""
+    top = lambda c: counted.groupBy(c).agg(F.sum("n").alias("t")).orderBy(F.desc("t"), c).limit(k).select(c)
+    grid = top(a).withColumn("_one", F.lit(1)).join(top(b).withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return grid.join(counted, [a, b], "left").na.fill(0, ["n"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,65 @@ def snake_names(df: DataFrame) -> DataFrame:
     import re
 
     return df.toDF(*(re.sub(r"\W+", "_", c.strip().lower()).strip("_") for c in df.columns))
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """n rows at random by a hash of key and seed: the same rows for the same seed, whatever their order."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key).limit(n)
+
+
+def filtered(df: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Rows that a condition given by the caller keeps; all without one."""
+    return df if keep is None else df.filter(keep)
+
+
+def each_text(df: DataFrame, change: Callable[[Column], Column], but: list[str] | None = None) -> DataFrame:
+    """One function over all text columns but those named."""
+    return df.select(*(change(F.col(c)).alias(c) if kind == "string" and c not in (but or []) else F.col(c) for c, kind in df.dtypes))
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Replace a Parquet table as a whole: the new one is written beside it and takes its name when it is complete.
+
+    Whoever reads finds the old table, the new one, or for the moment between two
+    renames none, but never a part; if writing fails, the old one stays.
+    """
+    spark = df.sparkSession
+    jvm = spark._jvm
+    old, new, gone = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + tail) for tail in ("", ".new", ".old"))
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(path.rstrip("/") + ".new")
+    if fs.exists(old):
+        fs.delete(gone, True)
+        fs.rename(old, gone)
+    fs.rename(new, old)
+    fs.delete(gone, True)
+
+
+def append_batch(df: DataFrame, path: str, batch: int) -> None:
+    """Write one batch of results as a folder of its own; writing it again replaces it."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def last_batch(spark: SparkSession, path: str) -> int | None:
+    """The highest batch number written, or null: where a run resumes."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return max((int(n[6:]) for n in names if n.startswith("batch=")), default=None)
+
+
+def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
+    """Several tables of one report, each in a folder of its name."""
+    for name, df in sheets.items():
+        write_csv(df, f"{path.rstrip('/')}/{name}")
+
+
+def read_workbook(spark: SparkSession, path: str, schema: str, sheet: str | int = 0) -> DataFrame:
+    """One sheet of a workbook, read on the driver, as workbooks are small; needs a reader for the format to be installed."""
+    import pandas as pd
+
+    columns = [c.split()[0] for c in schema.split(", ")]
+    rows = pd.read_excel(path, sheet_name=sheet, usecols=columns, dtype=str)[columns]
+    return spark.createDataFrame([tuple(None if pd.isna(x) else x for x in r) for r in rows.itertuples(index=False)], ", ".join(f"{c} string" for c in columns))

@@ -117,6 +117,37 @@ def spread_tables(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: [t | {"rows": spread(t["rows"])} for t in parse_tables(p)])
 
 
+CATEGORIES = T.ArrayType(T.StructType([T.StructField("category", T.StringType()), T.StructField("cells", T.ArrayType(T.StringType()))]))
+
+
+def category_rows(span: int):
+    """Column function: all table rows of a page with spans spread out, each with the text of the last header cell over ``span`` columns before it."""
+
+    @F.pandas_udf(CATEGORIES)
+    def run(pages: pd.Series) -> pd.Series:
+        def read(page: str | None) -> list[dict]:
+            out = []
+            for table in parse_tables(page):
+                category = None
+                for written, row in zip(table["rows"], spread(table["rows"])):
+                    if len(written) == 1 and written[0]["header"] and written[0]["colspan"] >= span:
+                        category = written[0]["text"]
+                    elif row and not all(c["header"] for c in row):
+                        out.append({"category": category, "cells": [c["text"] for c in row]})
+            return out
+
+        return pages.map(read)
+
+    return run
+
+
+def image_rows(page: Column) -> Column:
+    """ARRAY of (cells, title): one entry per titled image of each table row, with the texts of the row's cells."""
+    rows = F.flatten(F.transform(tables(page), lambda t: t["rows"]))
+    of_row = lambda r: F.flatten(F.transform(F.filter(r, lambda c: c["title"].isNotNull()), lambda c: F.split(c["title"], "\n")))
+    return F.flatten(F.transform(rows, lambda r: F.transform(of_row(r), lambda t: F.struct(F.transform(r, lambda c: c["text"]).alias("cells"), t.alias("title")))))
+
+
 def table_rows(table: Column, cells: int | None = None, least: int = 1) -> Column:
     """Texts of each row that has exactly ``cells``, or at least ``least``, cells."""
     size = (lambda r: F.size(r) == cells) if cells else (lambda r: F.size(r) >= least)
