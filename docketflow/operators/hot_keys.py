@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketflow.operators.skew import heavy_keys, salted_join
+from docketflow.operators.skew import heavy_keys, lookup_split
 from docketflow.runtime import cut
 
 BINS = 64
@@ -49,7 +49,7 @@ def exact_quantiles(histogram: DataFrame, heavy: DataFrame, quantiles: dict[str,
         # one row per key, so that the lookup stays unique in it
         asked = open_.groupBy("key").agg(F.collect_list(F.struct("total", "q", "rank", "lo", "hi")).alias("asked"))
         inside = (
-            salted_join(values, asked, heavy, "key", ["value"])
+            lookup_split(values, asked, heavy, "key")
             .select("key", "value", "n", F.explode("asked").alias("a"))
             .select("key", "value", "n", "a.*")
             .filter(F.col("value").between(F.col("lo"), F.col("hi")))
