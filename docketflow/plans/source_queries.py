@@ -173,8 +173,12 @@ _LIST = (
 QUERIES = {f.__name__: f for f in _LIST}
 
 
+#: White space of all scripts, where DuckDB's class has that of ASCII only.
+_SPACE = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def _line(c: str) -> str:
-    return f"trim(regexp_replace(replace(coalesce({c}, ''), '|', '\\\\|'), '\\\\s+', ' ', 'g'), ' ')".replace("\\\\", "\\")
+    return rf"trim(regexp_replace(replace(coalesce({c}, ''), '|', '\|'), '{_SPACE}', ' ', 'g'), ' ')"
 
 
 def _cell(c: str) -> str:

@@ -29,7 +29,7 @@ def query(sql: str | None = None):
     return keep
 
 
-@query("SELECT reg_id, trim(regexp_replace(regexp_replace(subject, '[‐–—−]', '-', 'g'), '\\s+', ' ', 'g'), ' ') AS plain, regexp_replace(subject, '[‐‑–—−]|â€[“”‘’]?', '-', 'g') AS wide FROM utc_doc_reg_df")
+@query("SELECT reg_id, trim(regexp_replace(regexp_replace(subject, '[‐–—−]', '-', 'g'), '[\\s\\x0b\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'), ' ') AS plain, regexp_replace(subject, '[‐‑–—−]|â€[“”‘’]?', '-', 'g') AS wide FROM utc_doc_reg_df")
 def f5_dashes(spark, sf_dir):
     s = F.col("subject")
     return load(spark, sf_dir, REGISTER).select("reg_id", text.plain_dashes(s).alias("plain"), text.wide_dashes(s).alias("wide"))
@@ -206,11 +206,11 @@ def j15_first_match(spark, sf_dir):
     return mails.join(first, "id", "left").select("match_id", F.coalesce("proposal_title", F.lit("")).alias("title"), F.coalesce("proposer", F.lit("")).alias("proposer"))
 
 
-@query("SELECT r.reg_id, coalesce(u.subject, r.subject) AS subject, coalesce(u.error_message, r.error_message) AS error_message FROM utc_doc_reg_df r LEFT JOIN (SELECT reg_id, upper(subject) AS subject, 'done' AS error_message FROM utc_doc_reg_df WHERE reg_id % 3 = 0) u ON r.reg_id = u.reg_id")
+@query("SELECT r.reg_id, coalesce(u.subject, r.subject) AS subject, coalesce(u.error_message, r.error_message) AS error_message FROM utc_doc_reg_df r LEFT JOIN (SELECT reg_id, md5(subject) AS subject, 'done' AS error_message FROM utc_doc_reg_df WHERE reg_id % 3 = 0) u ON r.reg_id = u.reg_id")
 def j18_updated(spark, sf_dir):
     """Results written back to the rows that they belong to."""
     rows = load(spark, sf_dir, REGISTER).select("reg_id", "subject", "error_message")
-    results = rows.filter("reg_id % 3 = 0").select("reg_id", F.upper("subject").alias("subject"), F.lit("done").alias("error_message"))
+    results = rows.filter("reg_id % 3 = 0").select("reg_id", F.md5("subject").alias("subject"), F.lit("done").alias("error_message"))
     return relate.update(rows, results, "reg_id", ["subject", "error_message"])
 
 
@@ -352,11 +352,11 @@ def u6_spine(spark, sf_dir):
     return docs.unionByName(mails).filter("year IS NOT NULL").distinct().join(ids, "id", "left_semi")
 
 
-@query("SELECT doc_num, upper(proposal_title) AS proposal_title, upper(proposer) AS proposer FROM proposals WHERE proposal_title IS NOT NULL")
+@query("SELECT doc_num, md5(proposal_title) AS proposal_title, md5(proposer) AS proposer FROM proposals WHERE proposal_title IS NOT NULL")
 def ud3_each_column(spark, sf_dir):
     """One function over all text columns, after a filter given by the caller."""
     rows = files.filtered(load(spark, sf_dir, "proposals").select("doc_num", "proposal_title", "proposer"), F.col("proposal_title").isNotNull())
-    return files.each_text(rows, F.upper, ["doc_num"])
+    return files.each_text(rows, F.md5, ["doc_num"])
 
 
 def _enriched(kind: str, schema: str, columns: list[str]):
