@@ -1,16 +1,16 @@
 """Items that appear together (problem 1).
 
-Pairs are counted by an external sort of packed 64-bit codes. Every item that can
-take part in a pair gets a 32-bit number in code point order; a pair is
+Pairs are counted by an external sort of packed 64-bit codes. Every item gets a
+32-bit number in code point order; a pair is
 ``a << 32 | b`` with a < b. Each partition sorts its codes (spilling sorted runs
 that Spark's sorter merges), counts run lengths, and only these counted runs are
 shuffled; after the shuffle the runs are sorted, merged and counted again. The
 counted pairs get observed-to-expected ratio and the odds ratio with a
 continuity correction of one half.
 
-Items that occur in fewer records than any reported pair must are left out
-before pairs are formed. That loses no pair, and bounds the items kept by the
-mean record size over ``min_share``, and so the pairs of one record.
+All pairs of all records are formed and counted, also those of rare items; the
+least counts of ``item_pairs`` only choose among the counted pairs. The work is
+that of the records' squared sizes, whatever these parameters are.
 
 Cases: null and blank items, null records and null arrays count nothing; an item
 repeated in a record counts once; records that share an id are one record, whose
@@ -90,8 +90,7 @@ def item_pairs(df: DataFrame, record: str, arrays: list[str], min_records: int =
     n = single.agg(F.count_distinct("record")).first()[0]
     least = max(min_records, 1)
     counts = single.filter(F.col("item").isNotNull()).groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    frequent = counts.filter((F.col("n_item") >= least) & (F.col("n_item") >= F.lit(min_share) * n))
-    numbered = cut(_number(frequent), "frequent-items")
+    numbered = cut(_number(counts), "numbered-items")
     lookup = bounded_broadcast(numbered, MAX_ITEMS)
     records = single.join(lookup.select("item", "code"), "item").groupBy("record").agg(F.collect_list("code").alias("codes"))
     pairs = count_codes(records.select("codes").filter(F.size("codes") > 1).mapInArrow(_pairs, "code bigint"))

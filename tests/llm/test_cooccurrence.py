@@ -54,3 +54,14 @@ def test_runs_over_batches():
 def test_empty(spark):
     assert _got(spark, []).count() == 0
     assert _got(spark, [("a", ["x"], None), ("b", None, [])]).count() == 0
+
+
+def test_least_counts_leave_no_pair_uncounted(spark, monkeypatch):
+    """Pairs of rare items are counted too; the least counts choose among the counted pairs."""
+    data = [(f"d{k}", [f"rare{k}", f"rare{k // 2}", "hot", "warm"], [f"one{k}"]) for k in range(40)]
+    counted, count_codes = [], cooccurrence.count_codes
+    monkeypatch.setattr(cooccurrence, "count_codes", lambda codes: counted.append(count_codes(codes)) or counted[-1])
+    found = {(r["item_a"], r["item_b"], r["n_a"], r["n_b"], r["n_ab"], r["n_records"]) for r in _got(spark, data, min_records=3, min_share=0.5).collect()}
+    assert found == _expected(data, 3, 0.5) == {("hot", "warm", 40, 40, 40, 40)}
+    every = _expected(data, 1, 0)
+    assert sorted(r["n"] for r in counted[0].collect()) == sorted(k for *_, k, _ in every)
